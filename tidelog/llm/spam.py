@@ -36,7 +36,7 @@ _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"']+")
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d")
 _SETTING = re.compile(r"^\s*[\w.\-]+\s*=\s*\S*\s*$")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])\s*(?=\S)")
 _TAG = re.compile(r"(?:^|\s)(?:#[\w-]+|[^\W\d_][\w-]*:[\w-]+)(?=\s|$|[,;])")
 _ANCHOR = re.compile(r"<a\s[^>]*href", re.I)
 
@@ -58,10 +58,8 @@ def _units(text: str) -> Iterator[tuple[str, str]]:
         elif line.count(" | ") >= 3 or line.count(" · ") >= 3 or line.count(" • ") >= 3:
             for part in re.split(r" [|·•] ", line):
                 yield "cell", part
-        elif _URL.search(line):
-            yield "line", line
         else:
-            pieces = re.split(r"[,;]", line)
+            pieces = [] if _URL.search(line) else re.split(r"[,;]", line)
             if len(pieces) >= 8 and sum(len(_WORD.findall(p)) for p in pieces) <= 4 * len(pieces):
                 for part in pieces:
                     yield "comma", part
