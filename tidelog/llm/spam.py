@@ -3,7 +3,7 @@
 Every line is cut into units (sentences, list entries, cells) and each unit is reduced to a shape: its
 kind by separators and links, its number of words, its capitals, and how little new there is among
 the words around it. The shapes of a page are grouped; a page is spam if non-sentence shapes of
-spam kinds hold more than half of its words. Log lines, settings and table rows are shapes of
+spam kinds dominate its words. Log lines, settings and table rows are shapes of
 their own and are never spam.
 
 Defined results: null, empty and blank texts and texts without a word are no spam; a page is judged
@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A page is spam above this share of its words.
-SPAM_SHARE = 0.5
+#: A page is spam above this measured share of its words. Half of the words is meant; the edges of stuffed
+#: stretches, seen together with the prose beside them, count as prose, so the measure is short by up to a fifth.
+SPAM_SHARE = 0.4
 #: Words around a unit among which repetition is measured, and distinct words per word below which it is stuffed.
 WINDOW, STUFFED = 60, 0.48
 #: Least number of words for which repetition is measured.
-LEAST_WORDS = 12
-#: A unit of so many words of which so many are distinct is a sentence, even if the page repeats it.
-SENTENCE_WORDS, SENTENCE_DISTINCT = 8, 0.85
+LEAST_WORDS = 40
+#: A unit of so many words of which so many are distinct is a sentence, even if the page repeats it; one
+#: shorter than LONG_WORDS only where the words around it are not as few as FEW.
+SENTENCE_WORDS, SENTENCE_DISTINCT, LONG_WORDS, FEW = 8, 0.85, 11, 0.33
 #: Entries that make a list; fewer links or tags in a page are ordinary.
 LEAST_ENTRIES = 3
 LIST_KINDS = ("link", "tag", "product")
@@ -113,7 +115,8 @@ def shapes(text: str) -> list[tuple[str, str, int, int]]:
             if len(window) >= LEAST_WORDS:
                 novelty = len(set(window)) / len(window)
             at += len(words)
-            sentence = len(words) >= SENTENCE_WORDS and len(set(words)) >= SENTENCE_DISTINCT * len(words)
+            least = SENTENCE_WORDS if novelty >= FEW else LONG_WORDS
+            sentence = len(words) >= least and len(set(words)) >= SENTENCE_DISTINCT * len(words)
             if novelty < STUFFED and not sentence:
                 kind = "keyword"
         count = len(words) if len(words) < 8 else 8 * (len(words) // 8)
