@@ -23,4 +23,4 @@ def test_general_part_needs_no_text_part():
     root = Path(tidelog.__file__).parent
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
-            assert "llm" not in path.read_text(), path
+            assert "tidelog.llm" not in path.read_text(), path
