@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that Python's str.strip() removes, as a Java character class.
-WHITE_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+#: The white space that Python's str.strip() removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 #: Fixed value: the UUID name space "URL" of RFC 4122.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -15,7 +17,7 @@ UUID_TEXT = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 def strip(text: Column) -> Column:
     """Without white space at either end, as Unicode and Python understand it."""
-    return F.regexp_replace(text, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def exchange_key(exchange: Column) -> Column:

@@ -11,14 +11,14 @@ from tidelog.operators import archive, contracts
 MONEY = "decimal(38,18)"
 
 
-def _amount(name: str) -> Column:
-    text = F.trim(F.get_json_object("payload", f"$.{name}"))
-    return F.when(X.number(text).isNotNull(), text.try_cast(MONEY))
+def _amount(text: Column) -> Column:
+    return F.when(X.number(text).isNotNull(), F.trim(text).try_cast(MONEY))
 
 
 def curated(raw: DataFrame) -> DataFrame:
     """Typed trades: normalised keys, derived identifier, price and size as decimals, side in capitals. Batch or stream."""
-    return raw.select(
+    parsed = raw.withColumn("_payload", F.from_json("payload", "price string, size string, side string"))
+    return parsed.select(
         archive.event_id(F.col("exchange"), F.col("symbol"), F.col("source_event_id")).alias("event_id"),
         X.exchange_key(F.col("exchange")).alias("exchange"),
         X.symbol_key(F.col("symbol")).alias("symbol"),
@@ -26,9 +26,9 @@ def curated(raw: DataFrame) -> DataFrame:
         "source_sequence",
         "event_time",
         "ingested_at",
-        _amount("price").alias("price"),
-        _amount("size").alias("size"),
-        F.upper(F.get_json_object("payload", "$.side")).alias("side"),
+        _amount(F.col("_payload.price")).alias("price"),
+        _amount(F.col("_payload.size")).alias("size"),
+        F.upper("_payload.side").alias("side"),
         "kafka_partition",
         "kafka_offset",
         "kafka_timestamp",
