@@ -64,6 +64,11 @@ def test_repeated_rows_and_empty_table(spark, work):
     assert tokens.token_ids(df.limit(0), work + "2").collect() == []
 
 
+def test_very_long_texts(spark, work):
+    text = " ".join(f"w{i % 977} and" for i in range(150_000))
+    assert {r.doc_id: r.ids for r in tokens.token_ids(frame(spark, [text, text + "!"]), work).collect()} == dict(enumerate(expected([text, text + "!"])))
+
+
 def test_decoding_invalid_ids(spark):
     df = spark.createDataFrame([(1, []), (2, [50256])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in tokens.decoded(df).collect()} == {1: "", 2: "<|endoftext|>"}

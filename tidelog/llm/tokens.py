@@ -54,7 +54,11 @@ def words(text: Column) -> Column:
 
 
 def token_ids(documents: DataFrame, work: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of every document. ``work`` is a folder for the word table."""
+    """(doc_id, ids) of every document. ``work`` is a folder for the word table.
+
+    Texts are shuffled once, by document. From then on words are exploded, looked up in the broadcast
+    part of the word table and put together again inside their partition; only rare words travel.
+    """
     spark = documents.sparkSession
     with open(vocabulary, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
@@ -64,15 +68,23 @@ def token_ids(documents: DataFrame, work: str, vocabulary: str = VOCABULARY) ->
     whole = (
         full.where("unknown").select("doc_id", "text").mapInPandas(_encoded(shared, "text"), "doc_id long, text string, ids array<int>").distinct().select("doc_id", "ids")
     )
-    placed = full.where("not unknown").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words(F.col("text"))).alias("at", "word"))
-    counted = placed.groupBy("word").agg(F.count("*").alias("n"))
+    known = full.where("not unknown").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc"), "text")
+    counted = known.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     table = written(counted.mapInPandas(_encoded(shared, "word"), "word string, n long, ids array<int>"), f"{work}/words")
     hot = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "ids")
-    hot = written(hot, f"{work}/hot")
-    common = placed.join(F.broadcast(hot), "word")
-    rare = placed.join(F.broadcast(hot.select("word")), "word", "left_anti").join(table.select("word", "ids"), "word")
-    parts = common.unionByName(rare).groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "ids")).alias("parts"))
-    joined = parts.select("doc_id", F.flatten(F.transform(F.array_sort(F.array_distinct("parts")), lambda p: p["ids"])).alias("ids"))
+    hot = F.broadcast(written(hot, f"{work}/hot"))
+    placed = known.repartition("doc").select("doc", F.posexplode(words(F.col("text"))).alias("at", "word"))
+    looked_up = placed.join(hot.withColumnRenamed("ids", "common"), "word", "left")
+    # a document in order: ids of common words, null where a rare word stands; n_rows is its number of equal rows
+    ordered = F.sort_array(F.collect_list(F.struct("at", F.col("common").alias("ids"))))
+    common = looked_up.groupBy("doc").agg(ordered.alias("parts"), F.sum((F.col("at") == 0).cast("int")).cast("int").alias("n_rows"))
+    missing = known.select("doc", F.posexplode(words(F.col("text"))).alias("at", "word")).join(hot.select("word"), "word", "left_anti")
+    rare = missing.join(table.select("word", "ids"), "word").groupBy("doc").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    both = common.join(rare.hint("shuffle_hash"), "doc", "left")
+    at_hand = F.filter("parts", lambda p: p["ids"].isNotNull())
+    merged = F.when(F.col("rare").isNull(), at_hand).otherwise(F.sort_array(F.concat(at_hand, "rare")))
+    once = both.withColumn("merged", merged).withColumn("merged", F.when(F.col("n_rows") == 1, F.col("merged")).otherwise(F.filter("merged", lambda p, i: i % F.col("n_rows") == 0)))
+    joined = once.select("doc.doc_id", F.flatten(F.transform("merged", lambda p: p["ids"])).alias("ids"))
     return joined.unionByName(whole).unionByName(blank)
 
 
@@ -82,9 +94,10 @@ def piece_table(spark, vocabulary: str = VOCABULARY) -> DataFrame:
         content = json.load(file)
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["id"]: t["content"].encode().hex() for t in content.get("added_tokens", [])}
-    rows = [(i, special.get(i) or bytes(byte_of[c] for c in piece).hex()) for piece, i in content["model"]["vocab"].items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
+    pieces = {t["id"]: t["content"].encode().hex() for t in content.get("added_tokens", [])}
+    for piece, i in content["model"]["vocab"].items():
+        pieces.setdefault(i, bytes(byte_of[c] for c in piece).hex() if all(c in byte_of for c in piece) else piece.encode().hex())
+    return spark.createDataFrame(pd.DataFrame(list(pieces.items()), columns=["id", "piece"]), "id int, piece string")
 
 
 def decoded(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -93,5 +106,5 @@ def decoded(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     placed = keyed.select("doc_id", "h", F.posexplode_outer("ids").alias("at", "id"))
     pieces = placed.join(F.broadcast(piece_table(encoded.sparkSession, vocabulary)), "id", "left")
     parts = pieces.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "piece")).alias("parts"))
-    data = F.unhex(F.array_join(F.transform(F.array_sort("parts"), lambda p: p["piece"]), ""))
+    data = F.unhex(F.array_join(F.transform(F.sort_array("parts"), lambda p: p["piece"]), ""))
     return parts.select("doc_id", F.try_validate_utf8(data.cast("string")).alias("text"))
