@@ -24,31 +24,37 @@ class Forest:
 
     @classmethod
     def fit(cls, sample: np.ndarray, seed: int, trees: int = TREES, tree_sample: int = TREE_SAMPLE) -> Forest:
+        """All trees grow level by level together."""
         rng = np.random.default_rng(seed)
+        sample = np.asarray(sample, dtype=np.float32)
         size = min(tree_sample, len(sample))
         depth = max(1, int(np.ceil(np.log2(max(2, size)))))
         nodes = (1 << (depth + 1)) - 1
         feature = np.full((trees, nodes), -1, dtype=np.int8)
         cut = np.zeros((trees, nodes), dtype=np.float32)
         length = np.zeros((trees, nodes), dtype=np.float32)
-        for t in range(trees):
-            stack = [(0, 0, sample[rng.choice(len(sample), size, replace=False)])]
-            while stack:
-                node, level, rows = stack.pop()
-                low, high = rows.min(axis=0), rows.max(axis=0)
-                open_features = np.flatnonzero(high > low)
-                if level == depth or len(rows) < 2 or not len(open_features):
-                    length[t, node] = level + _expected(len(rows))
-                    continue
-                f = rng.choice(open_features)
-                at = np.float32(rng.uniform(low[f], high[f]))
-                left = rows[:, f] <= at
-                if left.all() or not left.any():
-                    length[t, node] = level + _expected(len(rows))
-                    continue
-                feature[t, node], cut[t, node] = f, at
-                stack.append((2 * node + 1, level + 1, rows[left]))
-                stack.append((2 * node + 2, level + 1, rows[~left]))
+        rows = sample[np.argsort(rng.random((trees, len(sample))), axis=1)[:, :size]].reshape(trees * size, -1)
+        tree = np.repeat(np.arange(trees), size)
+        node = np.zeros(trees * size, dtype=np.int64)
+        for level in range(depth + 1):
+            if not len(rows):
+                break
+            places, group, counts = np.unique(tree * nodes + node, return_inverse=True, return_counts=True)
+            order = np.argsort(group, kind="stable")
+            starts = np.r_[0, np.cumsum(counts)[:-1]]
+            low, high = (f.reduceat(rows[order], starts, axis=0) for f in (np.minimum, np.maximum))
+            splittable = high > low
+            ends = ~splittable.any(axis=1) | (level == depth)
+            length.flat[places[ends]] = level + _expected(counts[ends])
+            chosen = np.where(splittable, rng.random(splittable.shape), -1.0).argmax(axis=1)
+            at = np.arange(len(places))
+            low, high = low[at, chosen], high[at, chosen]
+            # below the greatest value, so that neither side is empty
+            where = np.minimum((low + rng.random(len(places)) * (high - low)).astype(np.float32), np.nextafter(high, low))
+            feature.flat[places[~ends]], cut.flat[places[~ends]] = chosen[~ends], where[~ends]
+            right = rows[np.arange(len(rows)), chosen[group]] > where[group]
+            on = ~ends[group]
+            node, tree, rows = (2 * node + 1 + right)[on], tree[on], rows[on]
         return cls(feature, cut, length, size)
 
     def score(self, rows: np.ndarray) -> np.ndarray:

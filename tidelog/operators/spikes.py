@@ -34,8 +34,8 @@ CHUNK_TRADES = 20_000
 HALO = 20
 STUCK_TRADES, LEAST_TRADES, SPIKE_TRADES = 15, 30, 3
 PRICE_FACTOR, SIZE_FACTOR = 10.0, 100.0
-#: Isolation from which a reading is a candidate. The forest's neutral value is 0.5.
-CANDIDATE_SCORE = 0.48
+#: Isolation from which a reading is a candidate; about half of the ordinary readings lie below it.
+CANDIDATE_SCORE = 0.45
 
 _FEATURES = ("price_level", "price_change", "price_season", "price_lift", "size_level", "size_change", "size_season", "price_run", "size_run")
 _TRADE = ("source", "t", "trade")
@@ -215,7 +215,9 @@ def scored_trades(trades: DataFrame, work: str) -> DataFrame:
     """(source, t, trade, score, rule) of every distinct trade; rule is null for plausible ones."""
     ordered = _in_order(_readings(trades), work)
     columns = [*_TRADE, "chunk", "change", "off", "price", "size", *_FEATURES]
-    featured = ordered.groupBy("source", "chunk").applyInPandas(_featured, _FEATURED)
+    # little data, much work: as many tasks as configured, however few bytes a chunk has
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    featured = ordered.repartition(tasks, "source", "chunk").groupBy("source", "chunk").applyInPandas(_featured, _FEATURED)
     rows = written(featured.select(*columns), f"{work}/featured")
     usual = rows.groupBy("source").agg(
         F.count("*").alias("trades"), F.percentile_approx("change", 0.5, 10_000).alias("usual_change"), F.percentile_approx("size", 0.5, 10_000).alias("usual_size")
@@ -225,6 +227,7 @@ def scored_trades(trades: DataFrame, work: str) -> DataFrame:
     part = F.pmod("chunk", F.lit(256)).alias("part")
     hashed = rows.where(read).select("source", part, F.array(*_FEATURES).alias("row"), F.xxhash64("t", "trade", F.lit(7)).alias("h"))
     for by in (["source", "part"], ["source"]):
+        hashed = hashed if "part" in by else hashed.repartition(tasks, "source")
         hashed = hashed.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("k") <= isolation.SOURCE_SAMPLE).drop("k")
     models = hashed.select("source", "row").groupBy("source").applyInPandas(_fitted, "source string, feature binary, cut binary, length binary, fit_rows int")
     chunks = rows.select("source", "chunk").distinct()
