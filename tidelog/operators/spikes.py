@@ -241,4 +241,4 @@ def implausible(trades: DataFrame, work: str) -> DataFrame:
     """(kafka_partition, kafka_offset, rule) of every delivery of an implausible trade."""
     flagged = scored_trades(trades, work).where("rule is not null").select(*_TRADE, "rule")
     rows = _readings(trades).select(*_TRADE, "kafka_partition", "kafka_offset")
-    return rows.join(flagged, list(_TRADE)).select("kafka_partition", "kafka_offset", "rule")
+    return rows.join(flagged, list(_TRADE)).select("kafka_partition", "kafka_offset", "rule").distinct()
