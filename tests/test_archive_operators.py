@@ -134,3 +134,37 @@ def test_settings():
     with pytest.raises(config.SettingsError):
         config.symbols(" , ")
     assert config.object_store("http://h", "a", "b")["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
+
+
+def test_instants(spark):
+    from tidelog.functions import text as X
+
+    texts = ["2020-01-06T00:00:01Z", "2020-01-06T02:00:01.5+02:00", "2020-01-06T00:00:01", "2020-02-30T00:00:00Z", "yesterday", "", None]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(X.instant(F.col("t")))).collect()]
+    base = int(at(1).timestamp() * 1e6)
+    assert found == [base, base + 500_000, None, None, None, None, None]
+
+
+def test_anomaly_events_are_repeatable(spark):
+    judged, _ = sequence(spark, 100, 104, 104, 99, 105)
+    counted = continuity.health(judged, ["k"], ["b"], ["o"], "v")
+    events = sorted(continuity.anomaly_events(counted, ["k"], ["o"], "v", "envelopes").collect(), key=lambda r: r.o)
+    assert [(r.observation_type, r.missing_from, r.sequence_gap_count, r.duplicate_sequence_count, r.out_of_order_sequence_count) for r in events] == [
+        ("sequence_gap", 101, 1, 0, 0), ("duplicate_sequence", None, 1, 1, 0), ("out_of_order_sequence", None, 1, 1, 1),
+    ]
+    again = {r.event_id for r in continuity.anomaly_events(counted, ["k"], ["o"], "v", "envelopes").collect()}
+    assert again == {r.event_id for r in events} and len(again) == 3 and all(uuid.UUID(i).version == 5 for i in again)
+
+
+def test_lifecycles(spark):
+    df = spark.createDataFrame([("x", "a", at(0), at(5)), ("x", "a", at(0), at(9)), ("x", "b", at(20), at(21)), ("y", "c", at(1), at(1)), ("y", None, at(0), at(0))], "s string, c string, t timestamp, u timestamp")
+    found = {r.c: r.observation_type for r in continuity.lifecycles(df, "s", "c", "t", "u").collect()}
+    assert found == {"a": "connection_opened", "b": "connection_recovered", "c": "connection_opened"}
+
+
+def test_malformed_messages(spark):
+    from tidelog.operators import audit
+
+    df = records(spark, [record(1, b"\xff" * 300), record(2, None), record(3, b'{"event_id":"a","event_type":"b","schema_version":"c"}')])
+    found = {r.kafka_offset: (r.reason, r.message_bytes, r.message_excerpt and len(r.message_excerpt)) for r in audit.malformed_messages(df, 16).collect()}
+    assert found == {1: ("invalid_utf8", 300, 16), 2: ("null_value", None, None)}

@@ -57,3 +57,25 @@ def test_continuity_keeps_state_across_batches(spark, work):
     batch = continuity.classified(rows_, ["key"], ["block"], ["arrival"], "current")
     columns = ["key", "arrival", "current", "previous", "status", "missing_from", "missing_to"]
     assert sorted(map(str, found.select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+
+
+def test_recorded_feed_and_progress(spark, work):
+    import json
+    import os
+
+    from tidelog.sources import log
+    from tidelog.streaming.metrics import ProgressLog
+
+    folder = work.removeprefix("file://") + "/feed"
+    os.makedirs(folder)
+    with open(f"{folder}/a.json", "w") as file:
+        file.write(json.dumps({"connection_id": "c", "arrival_no": 1, "raw": '{"channel":"heartbeats","events":[{"heartbeat_counter":"4"}]}'}) + "\n")
+    seen = ProgressLog()
+    spark.streams.addListener(seen)
+    try:
+        stream = continuity.heartbeats_of(continuity.envelopes(log.recorded_feed(spark, folder, streaming=True)), "connection_id")
+        assert [r.heartbeat_counter for r in jobs.drained(stream, f"{work}/run").collect()] == [4]
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(seen)
+    assert not seen.failures and sum(r["rows"] for r in seen.reports) in (0, 1)

@@ -95,3 +95,9 @@ def reading(payload: Column, *names: str) -> list[Column]:
     """Members of a JSON object as numbers, parsed once."""
     parsed = F.from_json(payload, ", ".join(f"{n} string" for n in names))
     return [number(parsed[n]) for n in names]
+
+
+def instant(text: Column) -> Column:
+    """An ISO date-time that carries Z or an offset as timestamp; null for naive or impossible ones."""
+    zoned = F.trim(text).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9:.]+([Zz]|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.when(zoned, F.upper(F.trim(text)).try_cast("timestamp"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions import text as X
 from tidelog.operators.running import running
 
 ANOMALIES = ("gap", "duplicate", "out_of_order")
@@ -79,3 +80,42 @@ def heartbeats_of(parsed: DataFrame, *keep: str) -> DataFrame:
     """One row for each heartbeat with its counter as number; a counter that is none gives null."""
     found = parsed.where("envelope.channel = 'heartbeats'").select(*keep, F.posexplode("envelope.events").alias("at", "event"))
     return found.select(*keep, "at", F.trim("event.heartbeat_counter").try_cast("long").alias("heartbeat_counter"))
+
+
+COUNTERS = ("gap_count", "duplicate_count", "out_of_order_count")
+_OBSERVATIONS = {"gap": "sequence_gap", "duplicate": "duplicate_sequence", "out_of_order": "out_of_order_sequence"}
+
+
+def anomaly_events(counted: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, stream: str) -> DataFrame:
+    """A quality observation for each anomaly, with the counters as they stood; ``counted`` comes from ``health``.
+
+    The identifier is derived from key and place, so a replay gives the same one.
+    """
+    name = F.to_json(F.struct(F.lit(stream).alias("stream"), *keys, *order))
+    kind = F.create_map(*[F.lit(x) for pair in _OBSERVATIONS.items() for x in pair])[F.col("status")]
+    return counted.where(F.col("status").isin(*ANOMALIES)).select(
+        X.hyphenated(X.uuid5_hex(name)).alias("event_id"),
+        F.lit("market.data.quality").alias("event_type"),
+        F.lit("v1").alias("schema_version"),
+        kind.alias("observation_type"),
+        F.lit(stream).alias("stream"),
+        *keys,
+        *order,
+        F.col("previous").alias("previous_sequence"),
+        F.col(value).alias("current_sequence"),
+        "missing_from",
+        "missing_to",
+        F.col("last_observed").alias("last_envelope_sequence"),
+        F.col("observed").alias("envelopes_observed"),
+        *[F.col(c).alias(c.replace("_count", "_sequence_count").replace("gap_sequence", "sequence_gap")) for c in COUNTERS],
+    )
+
+
+def lifecycles(messages: DataFrame, source: str, connection: str, started: str, seen: str) -> DataFrame:
+    """Per connection of a source: connection_opened for the first and connection_recovered for later ones, with its last sign.
+
+    Connections are reduced before they are put in order, so a source's order holds one row for each.
+    """
+    each = messages.where(F.col(connection).isNotNull()).groupBy(source, connection).agg(F.min(started).alias("opened_at"), F.max(seen).alias("last_seen_at"))
+    place = F.row_number().over(Window.partitionBy(source).orderBy("opened_at", connection))
+    return each.withColumn("observation_type", F.when(place == 1, "connection_opened").otherwise("connection_recovered"))

@@ -130,6 +130,11 @@ def malformed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.value_fingerprint(_archive(spark, sf_dir)).drop("message_excerpt")
 
 
+@query()
+def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.malformed_messages(_archive(spark, sf_dir))
+
+
 # --- continuity ----------------------------------------------------------------------------------
 
 _SEQ = ["exchange", "symbol"]
@@ -174,6 +179,28 @@ def running_health_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(*_SEQ, *_ORDER, "observed", "gap_count", "duplicate_count", "out_of_order_count", "last_observed")
 
 
+@query(
+    f"""WITH {_SEQUENCE} SELECT exchange, symbol, kafka_offset, CASE status WHEN 'gap' THEN 'sequence_gap' WHEN 'duplicate' THEN 'duplicate_sequence' ELSE 'out_of_order_sequence' END AS observation_type,
+    previous AS previous_sequence, source_sequence AS current_sequence, CASE WHEN status = 'gap' THEN previous + 1 END AS missing_from, CASE WHEN status = 'gap' THEN source_sequence - 1 END AS missing_to
+    FROM c WHERE status IN ('gap', 'duplicate', 'out_of_order')"""
+)
+def anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = continuity.health(_classified(spark, sf_dir), _SEQ, _BLOCK, _ORDER, "source_sequence")
+    events = continuity.anomaly_events(counted, _SEQ, _ORDER, "source_sequence", "trades")
+    return events.select(*_SEQ, "kafka_offset", "observation_type", "previous_sequence", "current_sequence", "missing_from", "missing_to")
+
+
+@query(
+    f"""WITH e AS (SELECT lower({_strip('exchange')}) AS exchange, connection_id, min(connection_started_at) AS opened, max(detected_at) AS seen FROM market_data_quality_event
+    WHERE connection_id IS NOT NULL GROUP BY 1, 2) SELECT exchange, connection_id, epoch_us(opened) AS opened_us, epoch_us(seen) AS last_seen_us,
+    CASE WHEN row_number() OVER (PARTITION BY exchange ORDER BY opened NULLS FIRST, connection_id) = 1 THEN 'connection_opened' ELSE 'connection_recovered' END AS observation_type FROM e"""
+)
+def connection_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _quality(spark, sf_dir).withColumn("exchange", X.exchange_key(F.col("exchange")))
+    found = continuity.lifecycles(events, "exchange", "connection_id", "connection_started_at", "detected_at")
+    return found.select("exchange", "connection_id", F.unix_micros("opened_at").alias("opened_us"), F.unix_micros("last_seen_at").alias("last_seen_us"), "observation_type")
+
+
 @query(f"WITH {_SEQUENCE} SELECT exchange, symbol, arg_max(source_sequence, (kafka_partition, kafka_offset)) AS last_observed, max(source_sequence) AS baseline FROM s GROUP BY 1, 2")
 def last_observed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrivals(spark, sf_dir).where("source_sequence is not null")
@@ -279,7 +306,35 @@ def contract_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.violation_counts(_trades(spark, sf_dir), schemas.trade_rules())
 
 
-@query()
+def _quality_sql() -> str:
+    def uuid(c: str) -> str:
+        return f"coalesce(regexp_matches(lower({c}), '{X.UUID_TEXT}'), false)"
+
+    symbols = "coalesce(affected_symbols, CAST([] AS VARCHAR[]))"
+    kinds = ", ".join(f"'{k}'" for k in schemas.OBSERVATION_TYPES)
+    kept = {
+        "event_id_uuid": uuid("event_id"),
+        "connection_id_uuid": uuid("connection_id"),
+        "trace_id_uuid": uuid("trace_id"),
+        "event_type_const": "coalesce(event_type = 'market.data.quality', false)",
+        "schema_version_const": "coalesce(schema_version = 'v1', false)",
+        "producer_const": "coalesce(producer = 'apps.collector', false)",
+        "exchange_filled": f"coalesce({_strip('exchange')} <> '', false)",
+        "observation_type_enum": f"coalesce(observation_type IN ({kinds}), false)",
+        "detected_at_present": "detected_at IS NOT NULL",
+        "connection_started_at_present": "connection_started_at IS NOT NULL",
+        "affected_symbols_some": f"len({symbols}) > 0",
+        "affected_symbols_unique": f"len({symbols}) = len(list_distinct({symbols}))",
+        "affected_symbols_upper": f"len(list_filter({symbols}, lambda s: NOT coalesce(s = upper(s) AND s <> '', false))) = 0",
+        "reason_length": "coalesce(length(reason) <= 500, true)",
+        "message_excerpt_length": "coalesce(length(message_excerpt) <= 1024, true)",
+        "message_sha256_hex": "coalesce(regexp_matches(message_sha256, '^[0-9a-f]{64}$'), true)",
+        **{f"{n}_minimum": f"coalesce({n} >= 0, true)" for n in schemas.NON_NEGATIVE},
+    }
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(count(*) FILTER (WHERE NOT ({sql})) AS BIGINT) AS violations FROM market_data_quality_event" for rule, sql in kept.items())
+
+
+@query(_quality_sql())
 def quality_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.violation_counts(_quality(spark, sf_dir), schemas.quality_rules())
 
@@ -381,6 +436,11 @@ def mart_pipeline_health_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "records", "late", "max_lag", "total_lag")
 
 
+@query(f"SELECT DISTINCT event_id, connection_id, lower({_strip('exchange')}) AS exchange FROM market_data_quality_event WHERE event_id IS NOT NULL")
+def fct_quality_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fct_quality_event(_quality(spark, sf_dir)).select("event_id", "connection_id", "exchange")
+
+
 @query(
     f"""WITH e AS (SELECT event_id, connection_id, lower({_strip('exchange')}) AS exchange, arg_min(observation_type, detected_at) AS observation_type, min(detected_at) AS detected_at
     FROM market_data_quality_event WHERE event_id IS NOT NULL GROUP BY 1, 2, 3) SELECT exchange, observation_type, strftime(detected_at, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS events FROM e GROUP BY 1, 2, 3"""
@@ -389,7 +449,10 @@ def mart_quality_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.mart_quality_daily(_quality(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query()
+@query(
+    f"""SELECT exchange, CAST(count(*) AS BIGINT) AS records, quantile_disc(lag, 0.5) AS p50_us, quantile_disc(lag, 0.95) AS p95_us, quantile_disc(lag, 0.99) AS p99_us
+    FROM (SELECT lower({_strip('exchange')}) AS exchange, epoch_us(kafka_timestamp) - epoch_us(event_time) AS lag FROM market_trade_raw_event) GROUP BY 1"""
+)
 def freshness_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.freshness(_trades(spark, sf_dir))
 
@@ -404,7 +467,13 @@ def count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data_tests.reconciled_counts(raw, good, curated.first_of_each(good), bad)
 
 
-@query()
+_TESTS = (
+    "event_id_present event_time_present price_present size_present price_positive size_positive side_known not_before_event "
+    "high_bounds low_bounds volume_minimum trades_minimum event_id_unique candle_unique"
+).split()
+
+
+@query("SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES " + ", ".join(f"('{t}')" for t in _TESTS) + ") v(rule)")
 def data_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = _once(spark, sf_dir)
     return data_tests.trade_test_results(once, candles.candles(once))

@@ -33,7 +33,8 @@ OBSERVATION_TYPES = (
     "malformed_message",
     "health_summary",
 )
-_NON_NEGATIVE = (
+#: Counters and sequences of the quality event that are never negative.
+NON_NEGATIVE = (
     "previous_sequence current_sequence missing_from missing_to last_envelope_sequence last_heartbeat_counter seconds_since_last_message "
     "seconds_since_last_heartbeat envelopes_observed trades_observed heartbeats_observed sequence_gap_count duplicate_sequence_count "
     "out_of_order_sequence_count malformed_message_count"
@@ -92,5 +93,5 @@ def quality_rules() -> dict[str, Column]:
         "reason_length": F.coalesce(F.length("reason") <= 500, F.lit(True)),
         "message_excerpt_length": F.coalesce(F.length("message_excerpt") <= 1024, F.lit(True)),
         "message_sha256_hex": F.coalesce(F.col("message_sha256").rlike("^[0-9a-f]{64}$"), F.lit(True)),
-        **{f"{n}_minimum": F.coalesce(F.col(n) >= 0, F.lit(True)) for n in _NON_NEGATIVE},
+        **{f"{n}_minimum": F.coalesce(F.col(n) >= 0, F.lit(True)) for n in NON_NEGATIVE},
     }

@@ -41,3 +41,21 @@ def frozen(records: DataFrame, folder: str) -> DataFrame:
     """A snapshot written once: later reads see the same rows, and no executor holds the only copy."""
     records.write.mode("overwrite").parquet(folder)
     return records.sparkSession.read.schema(records.schema).parquet(folder)
+
+
+FEED = "connection_id string, arrival_no long, received_at timestamp, raw string"
+
+
+def recorded_feed(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+    """Feed messages recorded as JSON lines: the stand-in for a live socket, batch or stream."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(FEED).json(folder)
+
+
+def publish(records: DataFrame, brokers: str, topic: str, user: str | None = None, password: str | None = None) -> None:
+    """Write (key, value, headers) to a topic, acknowledged by all replicas. A failed delivery fails the job."""
+    options = {"kafka.bootstrap.servers": brokers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "includeHeaders": "true"}
+    if user is not None:
+        login = f'org.apache.kafka.common.security.plain.PlainLoginModule required username="{user}" password="{password}";'
+        options |= {"kafka.security.protocol": "SASL_SSL", "kafka.sasl.mechanism": "PLAIN", "kafka.sasl.jaas.config": login}
+    records.select("key", "value", "headers").write.format("kafka").options(**options).save()
