@@ -21,5 +21,6 @@ def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that keep all rules, the others with ``reason`` = the first broken one)."""
     first = F.coalesce(*[F.when(~kept, F.lit(name)) for name, kept in rules.items()])
-    marked = df.withColumn("reason", first)
+    # generated, not projected: a filter on it then stays above, and no rule's input is computed anew for the filter
+    marked = df.withColumn("reason", F.explode(F.array(first)))
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")

@@ -37,8 +37,10 @@ def curated(raw: DataFrame) -> DataFrame:
 
 def trade_tests() -> dict[str, Column]:
     """Rules a curated trade must keep."""
-    there = {f"{n}_present": F.col(n).isNotNull() for n in ("event_id", "event_time", "price", "size")}
-    return there | {
+    # the identifier is there if its three parts are; asking them spares a filter the digest
+    identity = F.col("exchange").isNotNull() & F.col("symbol").isNotNull() & F.col("source_event_id").isNotNull()
+    there = {f"{n}_present": F.col(n).isNotNull() for n in ("event_time", "price", "size")}
+    return {"event_id_present": identity} | there | {
         "price_positive": F.coalesce(F.col("price") > 0, F.lit(False)),
         "size_positive": F.coalesce(F.col("size") > 0, F.lit(False)),
         "side_known": F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(True)),
@@ -52,7 +54,8 @@ def quarantined(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_of_each(trades: DataFrame) -> DataFrame:
-    """One row for each event_id: least ingested_at, then position. Rows are reduced before they are shuffled."""
+    """One row for each event_id: least ingested_at, then position. Rows are reduced before they are shuffled; rows without identity fall away."""
     order = F.struct(F.col("ingested_at").isNull(), "ingested_at", "kafka_partition", "kafka_offset")
     first = F.min_by(F.struct(*trades.columns), order).alias("row")
-    return trades.where("event_id is not null").groupBy("event_id").agg(first).select("row.*")
+    named = trades.where("exchange is not null and symbol is not null and source_event_id is not null")
+    return named.groupBy("event_id").agg(first).select("row.*")
