@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.data import at, record, records, rows, trade, trades
 from tidelog import config, schemas
 from tidelog.operators import archive, candles, continuity, contracts, curated, data_tests, models, reconcile
+from tidelog.plans.archive import QUERIES
 
 
 def test_projection_and_back(spark):
@@ -113,6 +114,19 @@ def test_windows_and_gaps(spark):
     assert [r.hour.hour for r in reconcile.hourly_gaps(hours, "t").collect()] == [1, 2]
 
 
+def test_gaps_of_each_key(spark):
+    seen = [("a", at(0)), ("a", at(3 * 3600)), ("b", at(3600)), ("b", at(3 * 3600 + 5)), (None, at(0)), (None, at(2 * 3600)), ("c", None)]
+    found = reconcile.hourly_gaps(spark.createDataFrame(seen, "k string, t timestamp"), "t", ["k"]).collect()
+    assert sorted((r.k or "", r.hour.hour) for r in found) == [("", 1), ("a", 1), ("a", 2), ("b", 2)]
+
+
+def test_every_exchange_has_its_gaps(spark, work):
+    sent = [(0, "Pavisade"), (1, " pavisade\t"), (2, "pavisade"), (0, "brennix"), (3, "BRENNIX "), (0, "corvane"), (1, "corvane")]
+    trades(spark, [trade(i, hour * 3600, exchange=exchange) for i, (hour, exchange) in enumerate(sent)]).coalesce(1).write.parquet(f"{work}/market_trade_raw_event.parquet")
+    found = QUERIES["hourly_freshness_gaps_by_exchange"](spark, work).collect()
+    assert sorted(map(tuple, found)) == [("brennix", "2020-01-06 01"), ("brennix", "2020-01-06 02")]
+
+
 def test_incidents(spark):
     incidents = spark.createDataFrame([("i", "x", 1, at(50)), ("j", "y", 0, at(5))], "incident_id string, k string, b long, at timestamp")
     seen = spark.createDataFrame([("x", 0, at(10)), ("x", 1, at(50)), ("x", 2, at(90)), ("y", 0, at(9))], "k string, b long, at timestamp")

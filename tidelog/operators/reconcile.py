@@ -61,12 +61,12 @@ def around_incidents(incidents: DataFrame, trades: DataFrame, keys: Sequence[str
     return after.where("kind = 1").select("incident_id", *keys, at, "last_before", "first_after")
 
 
-def hourly_gaps(rows: DataFrame, at: str) -> DataFrame:
-    """Hours without rows between the first and the last hour: hour."""
-    hours = rows.select(F.date_trunc("hour", at).alias("hour")).where("hour is not null").distinct()
-    following = hours.withColumn("next", F.lead("hour").over(Window.orderBy("hour")))  # one row an hour
+def hourly_gaps(rows: DataFrame, at: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Hours without rows between the first and the last hour, of each key if there are any: keys, hour."""
+    hours = rows.select(*keys, F.date_trunc("hour", at).alias("hour")).where("hour is not null").distinct()
+    following = hours.withColumn("next", F.lead("hour").over(Window.partitionBy(*keys).orderBy("hour")))  # one row an hour and key
     gaps = following.where("next > hour + interval 1 hour")
-    return gaps.select(F.explode(F.expr("sequence(hour + interval 1 hour, next - interval 1 hour, interval 1 hour)")).alias("hour"))
+    return gaps.select(*keys, F.explode(F.expr("sequence(hour + interval 1 hour, next - interval 1 hour, interval 1 hour)")).alias("hour"))
 
 
 def backfill_due(wanted: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -484,11 +484,22 @@ def data_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strftime(make_timestamp(x * 3600000000), '%Y-%m-%d %H') AS hour FROM (SELECT unnest(range(h + 1, n)) AS x FROM g WHERE n > h + 1)"""
 )
 def hourly_freshness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours in which one of the smaller exchanges sent nothing."""
+    """Hours in which one of the smaller exchanges sent nothing; hourly_freshness_gaps_by_exchange covers all of them."""
     rows = _trades(spark, sf_dir).where(F.lower("exchange") == "pavisade")
     return reconcile.hourly_gaps(rows, "event_time").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"))
 
 
+@query(
+    f"""WITH h AS (SELECT DISTINCT lower({_strip('exchange')}) AS exchange, epoch_us(event_time) // 3600000000 AS h FROM market_trade_raw_event WHERE event_time IS NOT NULL),
+    g AS (SELECT exchange, h, lead(h) OVER (PARTITION BY exchange ORDER BY h) AS n FROM h)
+    SELECT exchange, strftime(make_timestamp(x * 3600000000), '%Y-%m-%d %H') AS hour FROM (SELECT exchange, unnest(range(h + 1, n)) AS x FROM g WHERE n > h + 1)"""
+)
+def hourly_freshness_gaps_by_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in which an exchange sent nothing, over all rows and by normalised exchange."""
+    rows = _trades(spark, sf_dir).select(X.exchange_key(F.col("exchange")).alias("exchange"), "event_time")
+    return reconcile.hourly_gaps(rows, "event_time", ["exchange"]).select("exchange", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"))
+
+
 def _stored_bars(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Minute counts from the values of the log or of the archive."""
     time = F.get_json_object(F.try_validate_utf8(F.col("kafka_value").cast("string")), "$.source_event_id")
