@@ -65,3 +65,22 @@ def test_spans_are_removed(spark):
     cleaned = {r.doc_id: r for r in leakage.decontaminated(documents(spark, [f"{filler} {held.upper()} end", f"x {held}", "plain", None]), items(spark, [held])).collect()}
     assert cleaned[0].text == f"{filler}  end" and cleaned[0].removed_words == 20
     assert cleaned[1].text is None and cleaned[2].text == "plain" and cleaned[3].text is None and cleaned[3].removed_words == 0
+
+
+def test_split_items_clean_as_one_automaton_does(spark):
+    held = [[f"{name}{i}" for i in range(20)] for name in "abcdef"]
+    rest = [f"z{i}" for i in range(60)]
+    both = [*held[0][:15], *rest[:5], *held[1][:15], *rest[5:20]]  # 0.3 from either item, 0.6 together
+    beside = [*rest[:30], *held[2][:6], *held[3], *held[2][6:], *rest[30:]]  # cutting one item would join the halves of another
+    overlap = [*rest[:40], *held[4], *held[5][10:], *rest[40:]]
+    tests = items(spark, [" ".join(h) for h in held] + [" ".join(held[4][10:] + held[5])])
+    docs = documents(spark, [" ".join(both), " ".join(beside), " ".join(overlap), ", ".join(held[0]), "plain", "", None])
+    whole = sorted(map(tuple, leakage.decontaminated(docs, tests).collect()))
+    for characters in (400, 150, 60):
+        assert sorted(map(tuple, leakage.decontaminated(docs, tests, characters=characters).collect())) == whole
+    assert whole[0][1:] == (30, 0.6, None) and whole[3][1:] == (20, 1.0, None)
+    assert [r[1] for r in whole[4:]] == [0, 0, 0] and [r[3] for r in whole[4:]] == ["plain", "", None]
+
+
+def test_cleaning_without_items(spark):
+    assert sorted(map(tuple, leakage.decontaminated(documents(spark, ["a b", None]), items(spark, [])).collect())) == [(0, 0, 0.0, "a b"), (1, 0, 0.0, None)]

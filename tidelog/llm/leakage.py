@@ -70,14 +70,35 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, char
     return found.distinct()
 
 
-def _remove(shared, coverage: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def cleaned(text: str | None, automaton: SuffixAutomaton) -> tuple[int, float, str | None]:
+def _mark(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Add what one automaton finds in the text to the hits: first word and the one after the last, alternately."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, automaton = shared.value
+        for batch in batches:
+            hits = []
+            for text, before in zip(batch["text"], batch["hits"], strict=True):
+                spans = list(before)
+                for last, length, _ in automaton.matches(m.group().lower() for m in _WORD.finditer(text or "")):
+                    first = last - length + 1
+                    if len(spans) > len(before) and first <= spans[-1]:
+                        spans[-2:] = [min(first, spans[-2]), last + 1]
+                    else:
+                        spans += [first, last + 1]
+                hits.append(spans)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "hits": hits})
+
+    return run
+
+
+def _cut(coverage: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def cleaned(text: str | None, spans: list[int]) -> tuple[int, float, str | None]:
         if not text:
             return 0, 0.0, text
         places = [m.span() for m in _WORD.finditer(text)]
         hit = [False] * len(places)
-        for last, length, _ in automaton.matches(text[a:b].lower() for a, b in places):
-            hit[last - length + 1 : last + 1] = [True] * length
+        for first, end in zip(spans[::2], spans[1::2], strict=True):
+            hit[first:end] = [True] * (end - first)
         share = sum(hit) / len(hit) if hit else 0.0
         if share > coverage:
             return sum(hit), share, None
@@ -90,18 +111,19 @@ def _remove(shared, coverage: float) -> Callable[[Iterator[pd.DataFrame]], Itera
         return sum(hit), share, "".join([*pieces, text[at:]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, automaton = shared.value
         for batch in batches:
-            rows = [(d, *cleaned(t, automaton)) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
+            rows = [(d, *cleaned(t, h)) for d, t, h in zip(batch["doc_id"], batch["text"], batch["hits"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "removed_words", "share", "text"])
 
     return run
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, coverage: float = 0.5, characters: int = AUTOMATON_CHARACTERS) -> DataFrame:
-    """(doc_id, removed_words, share, text) with leaked spans cut out; text is null where they cover more than ``coverage``."""
-    rows = documents.select("doc_id", F.lit(0).cast("long").alias("removed_words"), F.lit(0.0).alias("share"), "text")
+    """(doc_id, removed_words, share, text) with leaked spans cut out; text is null where they cover more than ``coverage``.
+
+    Every automaton sees the original text; the spans of all of them are united and cut once.
+    """
+    rows = documents.select("doc_id", "text", F.array().cast("array<int>").alias("hits"))
     for shared in _automata(items, least, characters):
-        passed = rows.select("doc_id", "text").mapInPandas(_remove(shared, coverage), "doc_id long, removed_words long, share double, text string")
-        rows = passed
-    return rows
+        rows = rows.mapInPandas(_mark(shared), "doc_id long, text string, hits array<int>")
+    return rows.mapInPandas(_cut(coverage), "doc_id long, removed_words long, share double, text string")
