@@ -75,6 +75,18 @@ def test_short_sources_have_no_spikes_and_keys_are_normalised(spark, work):
     assert flagged(spark, short + mixed, work) == {(2020, "price_spike")}
 
 
+def test_bursts_of_large_sizes_in_small_sources(spark, work):
+    data, expected = [], set()
+    for k, (n, burst) in enumerate([(37, 12), (37, 6), (61, 24)] * 3):
+        key = series(n, exchange=f"k{k}", start=1000 * k, seed=k)
+        rng = random.Random(k)
+        for i in range(10, 10 + burst):
+            put(key, i, size=f"{1.5 * rng.uniform(300, 390):.4f}")
+            expected.add((1000 * k + i, "size_spike"))
+        data += key
+    assert flagged(spark, data, work) == expected
+
+
 def test_empty_and_nulls(spark, work):
     assert rows(implausible(trades(spark, []), work)) == []
     data = [trade(1, None, exchange=None), trade(2, None, exchange=None, sid=None), trade(3, sid=None, price="0")]

@@ -8,9 +8,9 @@ fitted on a bounded sample, scores every reading; explicit rules are applied bes
 
 * a reading that is not a positive finite number,
 * a price or size unchanged over 15 or more trades in a row,
-* in sources of at least 30 trades, a reading that the forest finds isolated and that an exact check
-  confirms: a price that for at most three trades lies off both the preceding and the following
-  level by more than ten times the source's usual change, or a size above 100 times the usual one.
+* in sources of at least 30 trades, a price that for at most three trades lies off both the preceding
+  and the following level by more than ten times the source's usual change, or a size above 100 times
+  the usual one. These hold whatever the score: in a burst each reading looks ordinary to the forest.
 
 Defined results: repeated deliveries of one trade count as one trade and are all reported; trades
 without event_time come first within their source; null source parts are a source of their own.
@@ -34,8 +34,6 @@ CHUNK_TRADES = 20_000
 HALO = 20
 STUCK_TRADES, LEAST_TRADES, SPIKE_TRADES = 15, 30, 3
 PRICE_FACTOR, SIZE_FACTOR = 10.0, 100.0
-#: Isolation from which a reading is a candidate; about half of the ordinary readings lie below it.
-CANDIDATE_SCORE = 0.45
 
 _FEATURES = ("price_level", "price_change", "price_season", "price_lift", "size_level", "size_change", "size_season", "price_run", "size_run")
 _TRADE = ("source", "t", "trade")
@@ -202,9 +200,8 @@ def _scored(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if m["trades"] >= LEAST_TRADES:
             usual_change, usual_size = m["usual_change"], m["usual_size"]
     rule = np.full(len(rows), None, dtype=object)
-    candidate = score >= CANDIDATE_SCORE
-    rule[candidate & (rows["size"] > SIZE_FACTOR * usual_size).to_numpy()] = "size_spike"
-    rule[candidate & (rows["off"] > PRICE_FACTOR * usual_change).to_numpy()] = "price_spike"
+    rule[(rows["size"] > SIZE_FACTOR * usual_size).to_numpy()] = "size_spike"
+    rule[(rows["off"] > PRICE_FACTOR * usual_change).to_numpy()] = "price_spike"
     rule[((rows["price_run"] >= STUCK_TRADES) & rows["price"].notna()).to_numpy()] = "price_stuck"
     rule[((rows["size_run"] >= STUCK_TRADES) & rows["size"].notna()).to_numpy()] = "size_stuck"
     rule[(rows["price"].isna() | rows["size"].isna()).to_numpy()] = "impossible"
