@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from tidelog.llm.spam import shapes, spam_pages, spam_share
+from tidelog.llm.spam import _mixed, shapes, spam_pages, spam_share
 
 SENTENCES = "The data desk asked the venue to check why the archive fell behind. Nobody had raised the limit before the open, so lag grew from 4 s to 90 s. Two analysts compared both copies by hand and found nothing odd."
 SPAM = {
@@ -56,3 +57,29 @@ def test_pages(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "clash")], "doc_id long, text string, share string")
     assert sorted(r.doc_id for r in spam_pages(df).collect()) == [0, 4]
     assert spam_pages(df.limit(0)).collect() == []
+
+
+def cycled(words, n, a_line, seed=1):
+    rng = random.Random(seed)
+    drawn = [f"kw{rng.randrange(words)}" for _ in range(n)]
+    return "\n".join(" ".join(drawn[i : i + a_line]) for i in range(0, n, a_line))
+
+
+def test_keywords_in_other_order_on_every_line():
+    rng = random.Random(1)
+    keywords = "gold wallet reader koru best cheap buy offer top free online store".split()
+    page = "\n".join(" ".join(rng.sample(keywords, 12)) for _ in range(20))
+    assert spam_share(page) > 0.9 and spam_share(SENTENCES + "\n" + page) > 0.4
+    assert spam_share("\n".join([" ".join(keywords)] * 20)) < 0.4  # the same line again and again may be a template
+
+
+@pytest.mark.parametrize(("words", "n", "a_line"), [(40, 400, 15), (80, 1000, 20), (80, 2000, 2000), (150, 1500, 20)])
+def test_keywords_cycled_over_the_page(words, n, a_line):
+    assert spam_share(cycled(words, n, a_line)) > 0.9
+
+
+def test_prose_that_repeats_itself_is_not_in_random_order():
+    rng = random.Random(2)
+    who, did, what = ["the desk", "a night analyst", "our venue", "the second reader"], ["checked", "asked for", "wrote down", "compared"], ["the archive", "all late trades", "a copy of the log", "the open limit"]
+    prose = [f"{rng.choice(who)} {rng.choice(did)} {rng.choice(what)} and then {rng.choice(did)} {rng.choice(what)}".split() for _ in range(200)]
+    assert not any(_mixed(prose)) and all(_mixed([rng.sample(p, len(p)) for p in prose]))

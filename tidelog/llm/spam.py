@@ -2,7 +2,7 @@
 
 Every line is cut into units (sentences, list entries, cells) and each unit is reduced to a shape: its
 kind by separators and links, its number of words, its capitals, and how little new there is among
-the words around it. The shapes of a page are grouped; a page is spam if non-sentence shapes of
+the words around it and in the whole page. The shapes of a page are grouped; a page is spam if non-sentence shapes of
 spam kinds dominate its words. Log lines, settings and table rows are shapes of
 their own and are never spam.
 
@@ -27,9 +27,13 @@ SPAM_SHARE = 0.4
 WINDOW, STUFFED = 60, 0.48
 #: Least number of words for which repetition is measured.
 LEAST_WORDS = 40
-#: A unit of so many words of which so many are distinct is a sentence, even if the page repeats it; one
-#: shorter than LONG_WORDS only where the words around it are not as few as FEW.
+#: A unit of so many words of which so many are distinct is a sentence, even if the page repeats it (unless it
+#: is a reordering, see MIXED); one shorter than LONG_WORDS only where the words around it are not as few as FEW.
 SENTENCE_WORDS, SENTENCE_DISTINCT, LONG_WORDS, FEW = 8, 0.85, 11, 0.33
+#: Over the whole page, units most of whose words recur are stuffed if they share few distinct words and their
+#: neighbouring words repeat no more often than words in random order would: at most MIXED times as often, with
+#: LEAST_PAIRS repeats to be expected. Prose and templates repeat pairs more than twice as often, in any language.
+RECURRING, MIXED, LEAST_PAIRS = 0.8, 1.5, 5
 #: Entries that make a list; fewer links or tags in a page are ordinary.
 LEAST_ENTRIES = 3
 LIST_KINDS = ("link", "tag", "product")
@@ -96,6 +100,22 @@ def _capitals(words: list[str]) -> str:
     return "A" if all(upper) else "a" if not any(upper) else "Aa" if upper[0] and not any(upper[1:]) else "aA"
 
 
+def _mixed(units: list[list[str]]) -> list[bool]:
+    """Which units are keywords in random order, as reordered or cycled over the page; lines as they are in sentences are not."""
+    seen = Counter(w for words in units for w in words)
+    recurring = [sum(seen[w] > 1 for w in words) >= RECURRING * len(words) for words in units]
+    chosen = [words for words, recurs in zip(units, recurring, strict=True) if recurs]
+    counts = Counter(w for words in chosen for w in words)
+    total = counts.total()
+    if total < LEAST_WORDS or len(counts) >= STUFFED * total:
+        return [False] * len(units)
+    pairs = Counter(pair for words in chosen for pair in zip(words, words[1:], strict=False))
+    n = pairs.total()
+    expected = n * (n - 1) / 2 * sum((c / total) ** 2 for c in counts.values()) ** 2
+    repeats = sum(c * (c - 1) / 2 for c in pairs.values())
+    return recurring if expected >= LEAST_PAIRS and repeats <= MIXED * expected else [False] * len(units)
+
+
 def shapes(text: str) -> list[tuple[str, str, int, int]]:
     """(shape, spam kind or "text", words, entries) of every unit with words."""
     found = []
@@ -104,7 +124,9 @@ def shapes(text: str) -> list[tuple[str, str, int, int]]:
         if words:
             kind = _spam_kind(separator, unit, len(words))
             found.append((separator, kind, len(_TAG.findall(unit)) if kind == "tag" else 1, [w.lower() for w in words], _capitals(words)))
-    flow = [w for _, kind, _, words, _ in found if kind == "text" for w in words]
+    units = [words for _, kind, _, words, _ in found if kind == "text"]
+    flow = [w for words in units for w in words]
+    mixed = iter(_mixed(units))
     result, at = [], 0
     for separator, kind, entries, words, capitals in found:
         novelty = 1.0
@@ -117,7 +139,7 @@ def shapes(text: str) -> list[tuple[str, str, int, int]]:
             at += len(words)
             least = SENTENCE_WORDS if novelty >= FEW else LONG_WORDS
             sentence = len(words) >= least and len(set(words)) >= SENTENCE_DISTINCT * len(words)
-            if novelty < STUFFED and not sentence:
+            if next(mixed) or (novelty < STUFFED and not sentence):
                 kind = "keyword"
         count = len(words) if len(words) < 8 else 8 * (len(words) // 8)
         result.append((f"{separator}:{kind}:{count}:{capitals}:{int(novelty * 10)}", kind, len(words), entries))
