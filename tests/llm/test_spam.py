@@ -83,3 +83,17 @@ def test_prose_that_repeats_itself_is_not_in_random_order():
     who, did, what = ["the desk", "a night analyst", "our venue", "the second reader"], ["checked", "asked for", "wrote down", "compared"], ["the archive", "all late trades", "a copy of the log", "the open limit"]
     prose = [f"{rng.choice(who)} {rng.choice(did)} {rng.choice(what)} and then {rng.choice(did)} {rng.choice(what)}".split() for _ in range(200)]
     assert not any(_mixed(prose)) and all(_mixed([rng.sample(p, len(p)) for p in prose]))
+
+
+@pytest.mark.parametrize("text", [
+    "Buy gold wallet, gold wallet, best gold wallet. Gold wallet gold wallet!",
+    "Best KORU gold wallet, KORU gold wallet free. Gold wallet KORU, cheap gold wallet KORU. KORU wallet gold wallet best KORU gold",
+    "\n".join(f"{a} gold wallet KORU" for a in ("Best", "Cheap", "Top", "Free") * 2),
+])
+def test_short_stuffed_pages(text):
+    assert 11 < len(re.findall(r"\w+", text)) < 40 and spam_share(text) > 0.9
+
+
+def test_short_pages_that_repeat_a_little_are_plain():
+    assert spam_share("bitte zuerst die Kurse zählen und danach anrufen\nbitte zuerst die Lücken zählen und danach anrufen\n" * 2) < 0.4
+    assert spam_share("gold wallet gold wallet gold wallet") == 0.0

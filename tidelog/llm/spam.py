@@ -7,7 +7,7 @@ spam kinds dominate its words. Log lines, settings and table rows are shapes of
 their own and are never spam.
 
 Defined results: null, empty and blank texts and texts without a word are no spam; a page is judged
-over its whole text; repeated rows come out once.
+over its whole text; repetition of fewer than 12 words is not judged; repeated rows come out once.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 SPAM_SHARE = 0.4
 #: Words around a unit among which repetition is measured, and distinct words per word below which it is stuffed.
 WINDOW, STUFFED = 60, 0.48
-#: Least number of words for which repetition is measured.
+#: Number of words from which STUFFED holds. From SHORT_WORDS on SHORT_STUFFED does, as a few words of prose may
+#: repeat by chance; plain pages of that length were measured at 0.39 and more. Fewer words are never stuffed.
 LEAST_WORDS = 40
+SHORT_WORDS, SHORT_STUFFED = 12, 0.36
 #: A unit of so many words of which so many are distinct is a sentence, even if the page repeats it (unless it
-#: is a reordering, see MIXED); one shorter than LONG_WORDS only where the words around it are not as few as FEW.
+#: is a reordering, see MIXED); one shorter than LONG_WORDS only where the words around it are not as few as FEW or fewer than LEAST_WORDS.
 SENTENCE_WORDS, SENTENCE_DISTINCT, LONG_WORDS, FEW = 8, 0.85, 11, 0.33
 #: Over the whole page, units most of whose words recur are stuffed if they share few distinct words and their
 #: neighbouring words repeat no more often than words in random order would: at most MIXED times as often, with
@@ -134,12 +136,13 @@ def shapes(text: str) -> list[tuple[str, str, int, int]]:
             middle = at + len(words) // 2
             low = max(0, min(middle - WINDOW // 2, len(flow) - WINDOW))
             window = flow[low : low + max(WINDOW, len(words))]
-            if len(window) >= LEAST_WORDS:
+            if len(window) >= SHORT_WORDS:
                 novelty = len(set(window)) / len(window)
             at += len(words)
-            least = SENTENCE_WORDS if novelty >= FEW else LONG_WORDS
+            short = len(window) < LEAST_WORDS
+            least = SENTENCE_WORDS if novelty >= FEW or short else LONG_WORDS
             sentence = len(words) >= least and len(set(words)) >= SENTENCE_DISTINCT * len(words)
-            if next(mixed) or (novelty < STUFFED and not sentence):
+            if next(mixed) or (novelty < (SHORT_STUFFED if short else STUFFED) and not sentence):
                 kind = "keyword"
         count = len(words) if len(words) < 8 else 8 * (len(words) // 8)
         result.append((f"{separator}:{kind}:{count}:{capitals}:{int(novelty * 10)}", kind, len(words), entries))
