@@ -4,7 +4,8 @@ Every input partition is put in order of arrival and run through a finger B-tree
 (period, source): in-order rows are appended at the finger, late ones update their ancestors, and
 what falls behind the cut-off leaves the tree as whole subtrees, finished. The partitions'
 partial aggregates are then merged by key. Raw rows are not shuffled, so no source can make one
-task longer than the others.
+task longer than the others. A row's outcome is a comparison of its own times; the tree
+serves the aggregates only.
 
 Defined results: a row without event_time has no period and is left out; the arrival is the later
 of the two clocks, or the one that is there; with neither the row counts as on time.
