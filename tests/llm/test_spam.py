@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidelog.llm import spam
 from tidelog.llm.spam import _mixed, shapes, spam_pages, spam_share
 
 SENTENCES = "The data desk asked the venue to check why the archive fell behind. Nobody had raised the limit before the open, so lag grew from 4 s to 90 s. Two analysts compared both copies by hand and found nothing odd."
@@ -15,6 +16,9 @@ SPAM = {
     "html links": "<ul>" + "".join(f'<li><a href="https://a{i}.example">Offer {i}</a></li>' for i in range(20)) + "</ul>",
     "tags": "\n".join(f"sku:{i} brand:b{i} tag:top" for i in range(20)),
     "hash tags": " ".join(f"#offer{i % 7}" for i in range(60)),
+    "hosts on lines": "\n".join(f"example{i}.com/page/{i}" for i in range(80)),
+    "one host again and again": "\n".join("example7.com/page/7" for _ in range(80)),
+    "hosts in a row": " >> ".join(f"shop{i}.example" for i in range(40)),
     "products": " | ".join(f"KORU reader v{i} {i}.50" for i in range(20)),
 }
 PLAIN = {
@@ -22,6 +26,12 @@ PLAIN = {
     "log": "\n".join(f"2021-01-01T00:00:{i:02d}Z WARN reader partition=1 offset={i} stopped" for i in range(40)),
     "settings": "\n".join(f"READER_LIMIT_{i}={i}" for i in range(40)),
     "table": "| symbol | price |\n|---|---|\n" + "\n".join(f"| AB-USD | {i}.5 |" for i in range(40)),
+    "csv numbers": "\n".join(",".join(str((i * 7919 + j * 104729) % 1000) for j in range(10)) for i in range(40)),
+    "csv prices": "symbol,venue,side,price,size,time,seq,flag,kind\n" + "\n".join(f"AB-USD,lumenex,BUY,{i}.5,{i},12:00:{i:02d},{i},ok,late" for i in range(40)),
+    "cells": "symbol | price | size | side\n" + "\n".join(f"AB-USD | {i}.5 | 3 | BUY" for i in range(40)),
+    "code": "\n".join(f"draw(canvas, left, top, width, height, colour, border, label, layer{i})" for i in range(30)),
+    "files": "\n".join(f"- loader_{i}.py" for i in range(80)),
+    "glossary": "\n".join(", ".join(w + e for w in pair for e in ("", "s", "ed", "ing")) for pair in (("count", "check"), ("load", "trim"), ("start", "reset"), ("jump", "walk"), ("call", "talk"), ("print", "paint"))),
     "some links": SENTENCES + "\nSee also\n- http://a.example/x\n- http://b.example/y",
     "some tags": SENTENCES + "\n#feeds #audit #lag",
     "templates": "Primero hay que contar los envíos y después avisar al turno de mañana. Primero hay que contar los precios y después avisar al turno de mañana. " * 5,
@@ -33,7 +43,7 @@ PLAIN = {
 @pytest.mark.parametrize("name", SPAM)
 def test_spam(name):
     assert spam_share(SPAM[name]) > 0.9
-    assert spam_share(SENTENCES.split(". ")[0] + ".\n" + SPAM[name]) > 0.4
+    assert spam_share(SENTENCES.split(". ")[0] + ".\n" + SPAM[name]) > 0.5
 
 
 @pytest.mark.parametrize("name", PLAIN)
@@ -49,7 +59,21 @@ def test_texts_without_words(text):
 def test_shapes_cover_all_words():
     for name, text in (SPAM | PLAIN).items():
         if name != "html links":  # the separators between those are words too
-            assert sum(n for _, _, n, _ in shapes(text)) == len(re.findall(r"[^\W_]+", text)), name
+            assert sum(n for _, n, _ in shapes(text)) == len(re.findall(r"[^\W_]+", text)), name
+
+
+def test_shapes_decide(monkeypatch):
+    """With one shape for every unit nothing is found any more."""
+    one = spam.Shape("line", False, 8, "a", False)
+    monkeypatch.setattr(spam, "Shape", lambda *_: one)
+    assert not any(spam_share(t) for t in SPAM.values())
+
+
+def test_few_shapes_must_dominate(monkeypatch):
+    page = "\n".join(SPAM.values())
+    assert spam_share(page) > 0.5
+    monkeypatch.setattr(spam, "FEW_SHAPES", 1)
+    assert spam_share(page) < 0.5
 
 
 def test_pages(spark):
