@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from hypothesis import given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 
 from tidelog.llm import leakage
 from tidelog.llm.automaton import SuffixAutomaton
+from tidelog.session import BROADCAST_LIMIT_BYTES
 
 
 @settings(max_examples=200, deadline=None)
@@ -21,7 +23,16 @@ def test_automaton_equals_brute_force(items, document, least):
             assert place not in found
         else:
             tail = tuple(document[place + 1 - least : place + 1])
-            assert found[place] == (longest, sum(1 << i for i, r in enumerate(runs) if tail in r))
+            assert found[place] == (longest, tuple(i for i, r in enumerate(runs) if tail in r))
+
+
+def test_an_automaton_of_greatest_size_may_be_broadcast():
+    rng = random.Random(3)
+    texts, size = [], 0
+    while size < leakage.AUTOMATON_CHARACTERS:
+        texts.append([f"w{int(rng.paretovariate(0.6)) % 100_000}" for _ in range(100)])
+        size += sum(len(w) + 1 for w in texts[-1])
+    assert len(pickle.dumps(SuffixAutomaton(texts, 12))) < BROADCAST_LIMIT_BYTES
 
 
 def words(n, seed):
