@@ -50,12 +50,14 @@ _HOST = re.compile(r"(?:https?://)?(?:[a-z0-9][\w-]*\.)+(?!(?:" + "|".join(FILE_
 _FILE = re.compile(r"[\w./\\-]*\w\.(?:" + "|".join(FILE_ENDINGS) + r")", re.I)
 _LOG = re.compile(r"^\W*\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d")
 _SETTING = re.compile(r"^\s*[\w.\-]+\s*=\s*\S*\s*$")
-_CODE = re.compile(r"[A-Za-z_]\w*\([^()]*[),]|[{}]\s*$|[=!<>]=|^\s*(?:def|class|import|return|const|function|public|private)\b.*[(:;={]")
+_CODE = re.compile(r"[A-Za-z_]\w*\([^()]*[),]|[{}]\s*$|[=!<>]=|^\s*(?:def|class|import|return|const|function|public|private)\b.*[(={]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])\s*(?=\S)")
 _TAG = re.compile(r"(?:^|\s)(?:#[\w-]+|[^\W\d_][\w-]*:[\w-]+)(?=\s|$|[,;])")
 _ANCHOR = re.compile(r"<a\s[^>]*href", re.I)
 _ANCHOR_END = re.compile(r"</li>|<br\s*/?>|</a>", re.I)
 _CELL = re.compile(r" [|·•] ")
+_PIECE = re.compile(r"[,;]")
+_CODE_SIGNS = frozenset("({}=")
 
 LIST_KINDS = ("link", "tag", "product")
 
@@ -90,55 +92,62 @@ def _numbers(cells: list[str]) -> float:
 
 
 def _units(text: str) -> Iterator[tuple[str, bool, str]]:
-    """(separator, whether it is a link, unit) in order."""
+    """(separator, whether it is a link, unit) in order. A pattern is tried only where a line has its characters."""
     for line in text.splitlines():
-        if not line.strip():
+        bare = line.strip()
+        if not bare:
             continue
         if _LOG.match(line):
             yield "log", False, line
-        elif line.lstrip().startswith("|"):
+        elif bare[0] == "|":
             yield "row", False, line
-        elif _SETTING.match(line):
+        elif "=" in line and _SETTING.match(line):
             yield "setting", False, line
-        elif _ANCHOR.search(line):
+        elif "<" in line and _ANCHOR.search(line):
             for part in _ANCHOR_END.split(line):
                 yield "line", bool(_ANCHOR.search(part)), part
-        elif _CODE.search(line) and not _URL.search(line):
+        elif not _CODE_SIGNS.isdisjoint(line) and _CODE.search(line) and not _address(line):
             yield "code", False, line
         else:
             yield from _of_line(line)
 
 
+def _address(text: str) -> bool:
+    return ("://" in text or "www." in text) and bool(_URL.search(text))
+
+
 def _of_line(line: str) -> Iterator[tuple[str, bool, str]]:
-    cells = _CELL.split(line)
-    if len(cells) >= LEAST_CELLS:
+    if line.count(" | ") + line.count(" · ") + line.count(" • ") >= LEAST_CELLS - 1:
+        cells = _CELL.split(line)
         separator = "row" if _numbers(cells) >= 0.25 or sum(len(_WORD.findall(c)) < 2 for c in cells) > len(cells) / 2 else "cell"
         for cell in cells:
             yield separator, False, cell
         return
-    tokens = [t for t in line.split() if _WORD.search(t)]
-    bare = [t.strip(",;()<>[]\"'") for t in tokens]
-    if tokens and sum(bool(_FILE.fullmatch(t)) for t in bare) >= 0.8 * len(tokens):
-        yield "code", False, line
-        return
-    hosts = [t for t in bare if _HOST.fullmatch(t)]
-    if hosts and len(hosts) >= 0.8 * len(tokens):
-        for token in tokens:
-            yield "line", True, token
-        return
-    pieces = [] if _URL.search(line) else re.split(r"[,;]", line)
-    if len(pieces) >= LEAST_PIECES and sum(len(_WORD.findall(p)) for p in pieces) <= 4 * len(pieces):
-        separator = "row" if _numbers(pieces) >= 0.25 else "comma"
-        for piece in pieces:
-            yield separator, False, piece
-        return
+    if line.count(".") >= 0.4 * len(line.split()):  # separators may stand between the addresses
+        tokens = [t.strip(",;()<>[]\"'") for t in line.split() if _WORD.search(t)]
+        dotted = sum("." in t for t in tokens)
+        if dotted >= 0.8 * len(tokens):
+            if sum(bool(_FILE.fullmatch(t)) for t in tokens) >= 0.8 * len(tokens):
+                yield "code", False, line
+                return
+            if sum(bool(_HOST.fullmatch(t)) for t in tokens) >= 0.8 * len(tokens):
+                for token in tokens:
+                    yield "line", True, token
+                return
+    if line.count(",") + line.count(";") >= LEAST_PIECES - 1 and not _address(line):
+        pieces = _PIECE.split(line)
+        if sum(len(_WORD.findall(p)) for p in pieces) <= 4 * len(pieces):
+            separator = "row" if _numbers(pieces) >= 0.25 else "comma"
+            for piece in pieces:
+                yield separator, False, piece
+            return
     for part in _SENTENCE.split(line):
         yield "line", False, part
 
 
 def _is_link(unit: str) -> bool:
     """An address with a short title before it."""
-    if not _URL.search(unit):
+    if not _address(unit):
         return False
     outside = len(_WORD.findall(_URL.sub(" ", unit)))
     return outside <= 10 and len(_WORD.findall(_URL.split(unit)[-1])) <= 2
@@ -146,18 +155,20 @@ def _is_link(unit: str) -> bool:
 
 def _capitals(words: list[str]) -> str:
     """How the words begin: A for all capitals, a for none, Aa for the first only, aA for some."""
-    upper = [w[:1].isupper() for w in words]
-    return "A" if all(upper) else "a" if not any(upper) else "Aa" if upper[0] and not any(upper[1:]) else "aA"
+    upper = sum([w[0].isupper() for w in words])
+    return "a" if not upper else "A" if upper == len(words) else "Aa" if upper == 1 and words[0][0].isupper() else "aA"
 
 
 def _mixed(units: list[list[str]]) -> list[bool]:
     """Which units are keywords in random order, as reordered or cycled over the page; lines as they are in sentences are not."""
     seen = Counter(w for words in units for w in words)
-    recurring = [sum(seen[w] > 1 for w in words) >= RECURRING * len(words) for words in units]
+    recurring = [sum([seen[w] > 1 for w in words]) >= RECURRING * len(words) for words in units]
     chosen = [words for words, recurs in zip(units, recurring, strict=True) if recurs]
+    if sum(map(len, chosen)) < LEAST_WORDS:
+        return [False] * len(units)
     counts = Counter(w for words in chosen for w in words)
     total = counts.total()
-    if total < LEAST_WORDS or len(counts) >= WORN * total:
+    if len(counts) >= WORN * total:
         return [False] * len(units)
     pairs = Counter(pair for words in chosen for pair in zip(words, words[1:], strict=False))
     n = pairs.total()
@@ -187,10 +198,10 @@ def _read(text: str) -> list[_Unit]:
         entries = 1
         if separator == "line" and not links:
             links = _is_link(unit)
-            tags = [] if links else _TAG.findall(unit)
+            tags = [] if links or not ("#" in unit or ":" in unit) else _TAG.findall(unit)
             if tags and sum(len(_WORD.findall(t)) for t in tags) >= 0.8 * len(words):
                 separator, entries = "tag", len(tags)
-        found.append(_Unit(separator, links, entries, [w.lower() for w in words], _capitals(words)))
+        found.append(_Unit(separator, links, entries, " ".join(words).lower().split(), _capitals(words)))
     return found
 
 
@@ -209,13 +220,16 @@ def _worn(units: list[_Unit]) -> list[bool]:
             continue
         words = unit.words
         middle = at + len(words) // 2
+        at += len(words)
+        distinct = len(set(words)) >= SENTENCE_DISTINCT * len(words)
+        if distinct and len(words) >= LONG_WORDS:  # a sentence whatever stands around it
+            result.append(next(mixed))
+            continue
         low = max(0, min(middle - WINDOW // 2, len(flow) - WINDOW))
         window = flow[low : low + max(WINDOW, len(words))]
         novelty = len(set(window)) / len(window) if len(window) >= SHORT_WORDS else 1.0
-        at += len(words)
         short = len(window) < LEAST_WORDS
-        least = SENTENCE_WORDS if novelty >= SPARSE or short else LONG_WORDS
-        sentence = len(words) >= least and len(set(words)) >= SENTENCE_DISTINCT * len(words)
+        sentence = distinct and len(words) >= SENTENCE_WORDS and (novelty >= SPARSE or short)
         result.append(next(mixed) or (novelty < (SHORT_WORN if short else WORN) and not sentence))
     return result
 
