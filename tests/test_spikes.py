@@ -87,6 +87,46 @@ def test_bursts_of_large_sizes_in_small_sources(spark, work):
     assert flagged(spark, data, work) == expected
 
 
+def test_forests_decide_on_spikes(spark, work, monkeypatch):
+    data = series(200)
+    put(data, 50, price="900")
+    put(data, 20, size="5000")
+    put(data, 70, price="0")
+    assert flagged(spark, data, work) == {(50, "price_spike"), (20, "size_spike"), (70, "impossible")}
+    monkeypatch.setattr(Forest, "score", lambda self, rows: np.zeros(len(rows)))
+    assert flagged(spark, data, work + "2") == {(70, "impossible")}
+
+
+def test_scores_alone_tell_spikes_from_the_rest(spark, work):
+    data, spiked = [], set()
+    for k in range(8):
+        key = series(250, exchange=f"k{k}", start=1000 * k, seed=k)
+        for i in range(20, 240, 40):
+            put(key, i, price=str(300 + i), size=str(400 + i))
+            spiked.add(i * 7_000_000)
+        data += key
+    start = data[0][5].timestamp() * 1e6
+    scored = spikes.scored_trades(trades(spark, data), work).toPandas()
+    is_spike = scored["t"].sub(int(start)).isin(spiked)
+    for name in ("price_score", "size_score"):
+        assert (scored[name][is_spike] > spikes.SPIKE_SCORE).all()
+        assert (scored[name][~is_spike] > spikes.SPIKE_SCORE).mean() < 0.06  # the trade after a spike moves as far
+
+
+def test_summaries_are_merged_step_by_step(spark, work, monkeypatch):
+    data = series(400)
+    for i in (50, 51, 52):
+        put(data, i, price="900")
+    whole = spikes.scored_trades(trades(spark, data), work).orderBy("t").toPandas()
+    monkeypatch.setattr(spikes, "CHUNK_TRADES", 50)
+    monkeypatch.setattr(spikes, "MERGE_BITS", 1)
+    parts = spikes.scored_trades(trades(spark, data), work + "2").orderBy("t").toPandas()
+    assert whole[["source", "t", "trade", "rule"]].equals(parts[["source", "t", "trade", "rule"]])
+    # usual values are the same; the usual level of an hour comes from order statistics of its parts
+    for name in ("price_score", "size_score"):
+        assert np.abs(whole[name] - parts[name]).max() < 0.1
+
+
 def test_empty_and_nulls(spark, work):
     assert rows(implausible(trades(spark, []), work)) == []
     data = [trade(1, None, exchange=None), trade(2, None, exchange=None, sid=None), trade(3, sid=None, price="0")]
