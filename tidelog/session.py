@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_LIMIT_BYTES = 8 << 20
 
 
-def build_session(app: str = "tidelog", master: str = "local[8]", **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution; extra settings are passed as keyword map ``conf``."""
+def build_session(app: str = "tidelog", master: str | None = "local[8]", **conf: str) -> SparkSession:
+    """A UTC session with adaptive execution; extra settings are passed as keyword map ``conf``.
+
+    ``master`` None leaves it to spark-submit. Only a local session has few shuffle partitions; on a
+    cluster its own setting holds, and adaptive execution fits them to the data.
+    """
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.sql.shuffle.partitions", "8")
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -33,17 +40,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Working folders this process has named, by the session's application.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+    """The name of a new folder below ``spark.checkpoint.dir``, which the cluster names and all executors reach.
 
-    The cluster names that folder; only where it is unset (tests, one machine) a temporary one
-    is made once per session.
+    Only where that is unset and all tasks run on this machine, a temporary folder is made once for
+    each session. ``release`` removes what was written.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tidelog.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} reach")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("tidelog.shared.dir", base)
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the working folders of this session, once their results have been used; how many there were."""
+    from tidelog.sources import store
+
+    return sum(store.delete(spark, folder) for folder in _FOLDERS.pop(spark.sparkContext.applicationId, []))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
