@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.data import rows, trade, trades
 from tidelog.functions import text as X
-from tidelog.operators.exactly_once import IdentifierIndex, exactly_once, further_copies
+from tidelog.operators.exactly_once import IdentifierIndex, exactly_once, further_copies, prefix_bits_for
 
 
 def test_copies_by_normalised_identity(spark, work):
@@ -63,6 +63,13 @@ def test_index_takes_a_batch_once_and_merges(spark, work):
     assert index.kept().count() == 5
 
 
+def test_prefixes_grow_with_the_table(spark, work):
+    assert prefix_bits_for(10) == 4 and prefix_bits_for(10**13) == 27
+    index = IdentifierIndex(spark, work, prefix_bits=30)
+    ids = spark.createDataFrame([(bytes([255] * 16),), (bytes(16),)], "id binary").select(index.prefix(F.col("id")))
+    assert sorted(r[0] for r in ids.collect()) == [0, 2**30 - 1]
+
+
 @pytest.mark.parametrize("parts", [("Northmere ", " btc-usd", "123456789"), ("é\tx", 'q"\\', "\U0001f600\x7f"), ("ﬁ z", "ß", "\n7　"), ("", "", "")])
 def test_identifier_equals_uuid5(spark, parts):
     import json

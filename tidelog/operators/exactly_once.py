@@ -80,8 +80,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class IdentifierIndex:
     """A persisted set of identifiers that batches are checked against.
 
-    path: folder that all executors reach. prefix_bits: 2**prefix_bits arrays a run; choose it so
-    that one array (identifiers / 2**prefix_bits x 28 bytes) fits a task easily. merge_every: runs
+    path: folder that all executors reach. prefix_bits: 2**prefix_bits arrays a run, up to 2**30; choose it
+    so that one array (identifiers / 2**prefix_bits x 28 bytes) fits a task easily. merge_every: runs
     from which on they are merged.
 
     ``commits/N.json`` lists the live runs after commit N. A run is written before its commit, and
@@ -106,8 +106,11 @@ class IdentifierIndex:
             return self.spark.createDataFrame([], _RUN)
         return self.spark.read.schema(_RUN).parquet(*[f"{self.path}/runs/{r}" for r in runs])
 
-    def add(self, batch: DataFrame, batch_id: str) -> None:
-        """Take in the novel identifiers of a batch of (id, rank, part, offset); the least rank, part, offset wins."""
+    def add(self, batch: DataFrame, batch_id: str, merge: bool = True) -> None:
+        """Take in the novel identifiers of a batch of (id, rank, part, offset); the least rank, part, offset wins.
+
+        ``merge`` False leaves the runs as they are, for a last batch.
+        """
         old = self.state()
         if batch_id in old["batches"]:
             return
@@ -123,7 +126,7 @@ class IdentifierIndex:
         novel = candidates.groupBy("prefix").cogroup(runs.groupBy("prefix")).applyInArrow(_novel, _RUN)
         novel.write.mode("overwrite").parquet(f"{self.path}/runs/{run}")
         self._commit(old, [*old["runs"], run], [*old["batches"], batch_id])
-        if len(old["runs"]) + 1 >= self.merge_every:
+        if merge and len(old["runs"]) + 1 >= self.merge_every:
             self.merge()
 
     def merge(self) -> None:
@@ -136,47 +139,60 @@ class IdentifierIndex:
 
     def prefix(self, identifier: Column) -> Column:
         """The first bits of the identifier, which is a hash itself."""
-        return F.shiftright(F.conv(F.hex(F.substring(identifier, 1, 2)), 16, 10).cast("int"), 16 - self.bits)
+        return F.shiftright(F.conv(F.hex(F.substring(identifier, 1, 4)), 16, 10).cast("long"), 32 - self.bits).cast("int")
 
     def kept(self) -> DataFrame:
         """(part, offset) of every kept delivery."""
         return self._runs(self.state()["runs"]).select("parts", "offsets").mapInArrow(_unpacked, "part int, offset long")
 
 
-def prefix_bits_for(rows: int, per_prefix: int = 100_000) -> int:
-    """Bits so that a prefix has at most about ``per_prefix`` identifiers; at least 16 prefixes."""
-    return min(16, max(4, (max(1, rows) // per_prefix).bit_length()))
+#: log2 of the greatest number of prefixes; with PER_PREFIX identifiers each that is 10**14 of them.
+MOST_BITS, PER_PREFIX = 30, 100_000
+#: Rows a slice is meant to have; more rows make more slices, and there are at least three.
+SLICE_ROWS, GRID = 2_000_000_000, 60
+_KEYS = "id binary, rank long, part int, offset long"
 
 
-def further_copies(trades: DataFrame, path: str, batches: int = 3) -> DataFrame:
-    """(kafka_partition, kafka_offset) of every delivery whose message was delivered before.
+def prefix_bits_for(rows: int, per_prefix: int = PER_PREFIX) -> int:
+    """Bits so that a prefix has at most about ``per_prefix`` identifiers; at least 16 prefixes."""
+    return min(MOST_BITS, max(4, (max(1, rows) // per_prefix).bit_length()))
 
-    The table goes through the index in ``batches`` slices of ingested_at, cut at its quantiles;
-    rows without ingested_at come last.
-    """
-    spark = trades.sparkSession
-    rows = trades.select(
+
+def _keys(trades: DataFrame) -> DataFrame:
+    return trades.select(
         trade_identifier(trades).alias("id"),
         F.unix_micros("ingested_at").alias("rank"),
         F.col("kafka_partition").alias("part"),
         F.col("kafka_offset").alias("offset"),
-    ).where("part is not null and offset is not null")
-    cuts = sorted(set(rows.approxQuantile("rank", [i / batches for i in range(1, batches)], 0.01)))
-    index = IdentifierIndex(spark, path, prefix_bits_for(trades.count()))
-    edges = [None, *[int(c) for c in cuts], None]
-    rank = F.col("rank")
-    for number, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (rank >= low if high is not None else (rank >= low) | rank.isNull())
-        if high is not None:
-            inside = inside & (rank < high)
-        index.add(rows.where(inside), f"slice-{number}")
-    copies = rows.where("id is not null").join(index.kept(), ["part", "offset"], "left_anti")
+    ).where("part is not null and offset is not null and id is not null")
+
+
+def further_copies(trades: DataFrame, path: str, batches: int | None = None) -> DataFrame:
+    """(kafka_partition, kafka_offset) of every delivery whose message was delivered before.
+
+    The table goes through the index in slices of ingested_at, cut at its quantiles; rows without
+    ingested_at come last. It is read twice: for count and quantiles of one column, and to store
+    identifiers and positions by slice, from which everything else is read.
+    """
+    spark = trades.sparkSession
+    marks = F.percentile_approx(F.unix_micros("ingested_at"), [i / GRID for i in range(1, GRID)], 10_000)
+    n_rows, quantiles = trades.agg(F.count("*"), marks).first()
+    batches = batches or min(GRID, max(3, -(-n_rows // SLICE_ROWS)))
+    cuts = sorted({quantiles[i * GRID // batches - 1] for i in range(1, batches)}) if quantiles else []
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + (F.col("rank") >= cut).cast("int")
+    keys = _keys(trades).withColumn("slice", F.coalesce(number, F.lit(len(cuts))))
+    keys.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/keys")
+    stored = spark.read.schema(f"{_KEYS}, slice int").parquet(f"{path}/keys")
+    index = IdentifierIndex(spark, path, prefix_bits_for(n_rows), merge_every=2)
+    for slice_ in range(len(cuts) + 1):
+        index.add(stored.where(F.col("slice") == slice_), f"slice-{slice_}", merge=slice_ < len(cuts))
+    copies = stored.select("part", "offset").join(index.kept(), ["part", "offset"], "left_anti")
     return copies.select(F.col("part").alias("kafka_partition"), F.col("offset").alias("kafka_offset")).distinct()
 
 
-def exactly_once(trades: DataFrame, path: str, batches: int = 3) -> DataFrame:
+def exactly_once(trades: DataFrame, path: str, batches: int | None = None) -> DataFrame:
     """The table without further copies; rows without identifier stay."""
     copies = further_copies(trades, path, batches)
     return trades.join(copies, ["kafka_partition", "kafka_offset"], "left_anti").select(*trades.columns)
