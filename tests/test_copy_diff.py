@@ -73,3 +73,25 @@ def test_large_side_is_joined_instead_of_broadcast(spark, work, monkeypatch):
 
     monkeypatch.setattr(copy_diff, "BROADCAST_LIMIT_BYTES", 0)
     assert rows(differences(records(spark, [record(9, b"a"), record(10)]), records(spark, [record(9, b"b"), record(10)]), work)) == [("t", 0, 9, "kafka_value")]
+
+
+def test_copies_on_both_sides_do_not_cancel(spark, work):
+    log, archive = [record(1, b"a"), record(1, b"a"), record(2)], [record(1, b"b"), record(1, b"b"), record(2)]
+    assert rows(differences(records(spark, log), records(spark, archive), work)) == [("t", 0, 1, "kafka_value")]
+
+
+def test_the_checksums_decide(spark, work, monkeypatch):
+    from tidelog.operators import copy_diff
+
+    log, archive = records(spark, [record(1, b"a"), record(2)]), records(spark, [record(1, b"b"), record(2)])
+    monkeypatch.setattr(copy_diff, "_tree", lambda side, base, size: [copy_diff.np.zeros((1, 4))])
+    assert rows(differences(log, archive, work)) == []
+
+
+def test_ranges_far_apart_and_negative_offsets(spark, work):
+    places = [-5, 0, (1 << 27) - 1, 1 << 27, (1 << 40) + 3]
+    log = [record(o, b"a") for o in places]
+    archive = [record(o, b"a" if o == 0 else b"b") for o in places[:-1]]
+    assert rows(differences(records(spark, log), records(spark, archive), work)) == [
+        ("t", 0, -5, "kafka_value"), ("t", 0, places[2], "kafka_value"), ("t", 0, places[3], "kafka_value"), ("t", 0, places[4], "missing_in_archive"),
+    ]
