@@ -57,7 +57,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rewrite itself, and what became of each hour."""
-    return compaction.compact(table(spark, sf_dir, "raw_kafka_record"), table(spark, sf_dir, "archive_file"), shared_dir(spark))
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("raw_kafka_record", "archive_file")]
+    found = compaction.compact(spark, *paths, shared_dir(spark))
+    few = (F.col("files_after") <= F.greatest("needed", F.lit(1))).alias("few_enough")
+    return found.select(F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_hour", "rows", "files_before", "needed", few)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_minutes, p3_found, p4_found, p4_loaded, p5_found, p5_results, p6_found, p7_found, p7_compacted)}
@@ -119,6 +122,14 @@ ORACLE_SQL = {
         SELECT exchange, symbol, CAST(count(*) AS BIGINT) AS trades, CAST(round(sum(CAST(size AS DECIMAL(38,12))), 4) AS DOUBLE) AS volume,
                arg_max(price, (event_time, kafka_partition, kafka_offset)) FILTER (WHERE price IS NOT NULL) AS last_price
         FROM r GROUP BY exchange, symbol""",
+    "p7_compacted": """
+        WITH r AS (SELECT file_path, coalesce(strftime(event_date, '%Y-%m-%d'), regexp_extract(file_path, 'event_date=([0-9-]{10})', 1)) AS event_date,
+                          coalesce(event_hour, regexp_extract(file_path, 'event_hour=([0-9]{2})', 1)) AS event_hour, n_records, size_bytes, file_action,
+                          row_number() OVER (PARTITION BY file_path ORDER BY modified_at DESC) AS n FROM archive_file),
+        h AS (SELECT event_date, event_hour, count(*) AS files_before, CAST(ceil(sum(size_bytes) / 131072.0) AS BIGINT) AS needed FROM r
+              WHERE n = 1 AND file_action = 'add' AND n_records > 0 GROUP BY event_date, event_hour HAVING count(*) > ceil(sum(size_bytes) / 131072.0)),
+        a AS (SELECT strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, CAST(count(*) AS BIGINT) AS rows FROM raw_kafka_record GROUP BY 1, 2)
+        SELECT h.event_date, h.event_hour, a.rows, h.files_before, h.needed, true AS few_enough FROM h JOIN a ON h.event_date = a.event_date AND h.event_hour = a.event_hour""",
     "p7_found": """
         WITH r AS (SELECT file_path, coalesce(strftime(event_date, '%Y-%m-%d'), regexp_extract(file_path, 'event_date=([0-9-]{10})', 1)) AS event_date,
                           coalesce(event_hour, regexp_extract(file_path, 'event_hour=([0-9]{2})', 1)) AS event_hour, n_records, size_bytes, file_action,
