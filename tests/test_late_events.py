@@ -4,8 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.data import rows, trade, trades
-from tidelog.functions.finger_tree import FingerTree
-from tidelog.operators.late_events import late_rows, period_aggregates
+from tidelog.functions.finger_tree import CLOSED, OPEN, REFUSED, FingerTree
+from tidelog.operators.late_events import late_rows, period_aggregates, span_totals
 
 
 @settings(max_examples=150, deadline=None)
@@ -29,6 +29,23 @@ def test_tree_equals_a_dict(steps, width):
     assert evicted == {k: v for k, v in model.items() if k < floor}
 
 
+def test_bounds_of_the_tree():
+    tree = FingerTree(lambda a, b: a + b, 3)
+    assert tree.insert(1, 1) == OPEN
+    tree.advance(closed=10, floor=5)
+    assert [tree.insert(k, 1, 100) for k in (4, 5, 9, 10, 30)] == [REFUSED, CLOSED, CLOSED, OPEN, OPEN]
+    tree.advance(closed=2, floor=2)  # bounds do not go back
+    assert tree.insert(4, 1) == REFUSED
+    assert list(tree.items()) == [(1, 1), (5, 100), (9, 100), (10, 1), (30, 1)] and tree.lowest() == 1
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    df = trades(spark, [trade(o, 30, a) for o, a in enumerate((10, 200, 5000))])
+    assert rows(late_rows(df)) == [(0, 1, "corrected"), (0, 2, "refused")]
+    monkeypatch.setattr(FingerTree, "insert", lambda self, key, part, late=None: OPEN)
+    assert rows(late_rows(df)) == [] and rows(period_aggregates(df)) == []
+
+
 def test_limits_of_lateness(spark):
     end = 60
     arrivals = {1: end + 60, 2: end + 60.000001, 3: end + 900, 4: end + 900.000001, 5: 10}
@@ -77,6 +94,25 @@ def test_aggregates_equal_brute_force(spark):
         assert (r.high, r.low) == ((max(p[2] for p in prices), min(p[2] for p in prices)) if prices else (None, None))
 
 
+def test_span_totals_are_those_of_their_periods(spark):
+    random.seed(4)
+    data = []
+    for i in range(4000):
+        when = random.random() * 20_000
+        data.append(trade(i, when, when + random.choice([0.1, 30, 100, 500, 2000]), exchange=f"e{i % 7}", price=random.choice(["1", "2.5", "bad"]), size=str(i % 5)))
+    df = trades(spark, data).repartition(3)
+    expected = {}
+    for r in period_aggregates(df).collect():
+        hour = expected.setdefault(r.minute.replace(minute=0), [0, 0, 0.0, [], []])
+        hour[0] += r.trades
+        hour[1] += r.corrected
+        hour[2] += r.volume
+        hour[3] += [r.high] if r.high else []
+        hour[4] += [r.low] if r.low else []
+    got = {r.begin: (r.trades, r.corrected, r.volume, r.high, r.low) for r in span_totals(df).collect()}
+    assert got == {h: (n, c, v, max(a), min(b)) for h, (n, c, v, a, b) in expected.items()} and len(got) == 6
+
+
 def test_null_keys_are_a_source(spark):
     df = trades(spark, [trade(1, exchange=None), trade(2, exchange=None), trade(3, symbol=None, payload=None)])
     got = {(r.exchange, r.symbol): (r.trades, r.open) for r in period_aggregates(df).collect()}

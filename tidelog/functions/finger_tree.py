@@ -5,6 +5,9 @@ below it. A finger stays on the newest leaf: keys in order are appended there wi
 and the nodes of the right spine leave their aggregates open until asked. A late key climbs from
 the finger to the first node that spans it, goes down from there and is added to the aggregates of
 its ancestors up to the spine. Everything below a bound is cut off as whole subtrees.
+
+``advance`` moves two bounds forward: keys below the first belong to closed periods, so they are late;
+keys below the second belong to subtrees that are cut off or about to be, so they are refused.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 
+OPEN, CLOSED, REFUSED = 0, 1, 2
+
+
 class _Node:
     __slots__ = ("agg", "keys", "leaf", "parent", "vals")
 
@@ -26,11 +32,36 @@ class FingerTree:
         self.merge, self.width = merge, width
         self.root = self.finger = _Node(True)
         self.late = 0
+        self.closed = self.floor = None
+
+    def advance(self, closed: Any, floor: Any) -> None:
+        """Keys below ``closed`` are late from now on, keys below ``floor`` are refused. Bounds do not go back."""
+        self.closed = closed if self.closed is None else max(self.closed, closed)
+        self.floor = floor if self.floor is None else max(self.floor, floor)
+
+    def lowest(self) -> Any:
+        """The least key, None if there is none."""
+        node = self.root
+        while not node.leaf:
+            node = node.vals[0]
+        return node.keys[0] if node.keys else None
 
     def __len__(self) -> int:
         return sum(1 for _ in self.items())
 
-    def insert(self, key: Any, part: Any) -> None:
+    def insert(self, key: Any, part: Any, late_part: Any = None) -> int:
+        """Take in ``part``, or ``late_part`` where the key's period is closed; OPEN, CLOSED, or REFUSED with nothing taken in."""
+        state = OPEN
+        if self.floor is not None:
+            if key < self.floor:
+                return REFUSED
+            if key < self.closed:
+                state = CLOSED
+                part = part if late_part is None else late_part
+        self._insert(key, part)
+        return state
+
+    def _insert(self, key: Any, part: Any) -> None:
         leaf = self.finger
         if leaf.parent is not None and key < leaf.keys[0]:
             self.late += 1

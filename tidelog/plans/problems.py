@@ -23,6 +23,11 @@ def p2_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("exchange", "symbol", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "trades", "corrected", F.round("volume", 6).alias("volume"), "open", "high", "low", "close")
 
 
+def p2_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = late_events.span_totals(table(spark, sf_dir, "market_trade_raw_event"))
+    return found.select(F.date_format("begin", "yyyy-MM-dd HH").alias("hour"), "trades", "corrected", F.round("volume", 6).alias("volume"), "high", "low")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, archive = (table(spark, sf_dir, n) for n in ("kafka_record_snapshot", "raw_kafka_record"))
     return copy_diff.differences(log, archive, shared_dir(spark))
@@ -63,7 +68,7 @@ def p7_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_hour", "rows", "files_before", "needed", few)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_minutes, p3_found, p4_found, p4_loaded, p5_found, p5_results, p6_found, p7_found, p7_compacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_minutes, p2_hours, p3_found, p4_found, p4_loaded, p5_found, p5_results, p6_found, p7_found, p7_compacted)}
 
 #: Fixed value: Unicode white space as RE2 and DuckDB understand it.
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -113,6 +118,12 @@ ORACLE_SQL = {
                CAST(sum(CASE WHEN late > 60000000 THEN 1 ELSE 0 END) AS BIGINT) AS corrected, round(coalesce(sum(CASE WHEN isfinite(size) THEN size END), 0), 6) AS volume,
                arg_min(price, (t, o)) FILTER (WHERE ok) AS open, max(price) FILTER (WHERE ok) AS high, min(price) FILTER (WHERE ok) AS low, arg_max(price, (t, o)) FILTER (WHERE ok) AS close
         FROM k WHERE late <= 900000000 GROUP BY exchange, symbol, m""",
+    "p2_hours": f"""
+        WITH r AS (SELECT epoch_us(event_time) // 60000000 AS m, {_reading('price')}, {_reading('size')}, greatest(epoch_us(ingested_at), epoch_us(kafka_timestamp)) AS a FROM market_trade_raw_event),
+        k AS (SELECT *, a - (m + 1) * 60000000 AS late, price IS NOT NULL AND isfinite(price) AS ok FROM r)
+        SELECT strftime(make_timestamp(m // 60 * 3600000000), '%Y-%m-%d %H') AS hour, CAST(count(*) AS BIGINT) AS trades, CAST(sum(CASE WHEN late > 60000000 THEN 1 ELSE 0 END) AS BIGINT) AS corrected,
+               round(coalesce(sum(CASE WHEN isfinite(size) THEN size END), 0), 6) AS volume, max(price) FILTER (WHERE ok) AS high, min(price) FILTER (WHERE ok) AS low
+        FROM k WHERE late <= 900000000 GROUP BY m // 60""",
     "p3_found": f"{_DIFFERENT} UNION ALL {_only('kafka_record_snapshot', 'raw_kafka_record', 'missing_in_archive')} UNION ALL {_only('raw_kafka_record', 'kafka_record_snapshot', 'missing_in_log')}",
     "p5_found": f"""
         SELECT exchange, symbol FROM (SELECT {_KEYS} FROM market_trade_raw_event) GROUP BY exchange, symbol
