@@ -102,6 +102,8 @@ def test_replay_and_history(spark):
     replay = spark.createDataFrame([(1, "a", None), (2, "x", None), (4, "d", 1), (5, None, None)], "k int, v string, w int")
     assert rows(reconcile.replay_differences(live, replay, ["k"])) == [(2, "v"), (2, "w"), (3, "only_live"), (4, "only_replay")]
     assert tuple(reconcile.checksum(live).first()) == tuple(reconcile.checksum(live.orderBy(F.desc("k"))).first()) != tuple(reconcile.checksum(replay).first())
+    twice = spark.createDataFrame([(1, "a"), (1, "a")], "k int, v string")
+    assert tuple(reconcile.checksum(twice).first()) != tuple(reconcile.checksum(spark.createDataFrame([(2, "b"), (2, "b")], "k int, v string")).first())
     assert rows(reconcile.history_differences(live.select("k"), replay.select("k"), ["k"])) == [(3, "archive"), (4, "history")]
     assert rows(reconcile.backfill_due(live.select("k"), spark.createDataFrame([(1, "done"), (2, "failed")], "k int, status string"), ["k"])) == [(2,), (3,), (5,)]
 
@@ -172,8 +174,38 @@ def test_anomaly_events_are_repeatable(spark):
 
 def test_lifecycles(spark):
     df = spark.createDataFrame([("x", "a", at(0), at(5)), ("x", "a", at(0), at(9)), ("x", "b", at(20), at(21)), ("y", "c", at(1), at(1)), ("y", None, at(0), at(0))], "s string, c string, t timestamp, u timestamp")
-    found = {r.c: r.observation_type for r in continuity.lifecycles(df, "s", "c", "t", "u").collect()}
-    assert found == {"a": "connection_opened", "b": "connection_recovered", "c": "connection_opened"}
+    found = sorted((r.c, r.observation_type) for r in continuity.lifecycles(df, "s", "c", "t", "u").collect())
+    assert found == [("a", "connection_opened"), ("b", "connection_opened"), ("b", "connection_recovered"), ("c", "connection_opened")]
+
+
+def test_large_prices_do_not_stop_the_facts(spark):
+    df = spark.createDataFrame([("2e10", "3.5"), ("1.00000001", "2"), ("9e19", "9e19"), (None, "1")], "p string, s string")
+    found = df.select(models.notional(F.col("p").cast("double").cast("decimal(38,18)"), F.col("s").cast("double").cast("decimal(38,18)")).alias("n")).collect()
+    assert [None if r.n is None else float(r.n) for r in found] == [7e10, 2.00000002, None, None]
+
+
+def test_quiet_times_equal_silences_in_order_of_time(spark):
+    df = spark.createDataFrame([("k", n, at(s)) for n, s in enumerate([0, 0.1, 5, 16.9, 15.2, 26, 70, 7300, 7300.5])] + [(None, 1, at(3)), ("k", 9, None)], "k string, o long, t timestamp")
+    found = sorted((r.silent_from, r.seconds) for r in continuity.quiet_times(df, ["k"], "t", 10).collect())
+    expected = continuity.silences(df.where("t is not null"), ["k"], [], ["t"], "t", 10)
+    assert found == sorted((r.silent_from, r.seconds) for r in expected.collect()) and [s for _, s in found] == [10.2, 44.0, 7230.0]
+
+
+def test_few_trades_lie_near_an_incident(spark):
+    import random
+
+    rng = random.Random(2)
+    seen = [(rng.choice("xy"), at(rng.randrange(40_000) / 1000)) for _ in range(3000)]
+    asked = [(str(i), rng.choice("xyz"), at(rng.randrange(-2000, 43_000) / 1000)) for i in range(12)]
+    trades_, incidents = spark.createDataFrame(seen, "k string, at timestamp"), spark.createDataFrame(asked, "incident_id string, k string, at timestamp")
+    near = reconcile.near_incidents(trades_, incidents, ["k"])
+    assert near.count() < 2000
+    block = F.floor(F.unix_micros("at") / 3_600_000_000).alias("block")
+    found = {r.incident_id: (r.last_before, r.first_after) for r in reconcile.around_incidents(incidents.select("*", block), near.select("*", block), ["k"], "block").collect()}
+    plain = lambda s: s and s.replace(tzinfo=None)
+    for i, k, t in asked:
+        times = [x for key, x in seen if key == k]
+        assert found[i] == (plain(max((x for x in times if x <= t), default=None)), plain(min((x for x in times if x > t), default=None)))
 
 
 def test_malformed_messages(spark):

@@ -47,6 +47,25 @@ def test_split_write(spark, work):
     assert [r.reason for r in spark.read.parquet(f"{work}/bad").collect()] == ["price_positive"]
 
 
+def test_a_failed_quarantine_fails_the_batch_and_a_failed_report_does_not(spark, work):
+    import pytest
+
+    seen = []
+
+    def observe(number, bad):
+        seen.append((number, bad.count()))
+        raise RuntimeError("no report today")
+
+    df = trades(spark, [trade(1), trade(2, price="-1")])
+    jobs.split_write(staged(spark, df, f"{work}/in"), f"{work}/good", f"{work}/bad", f"{work}/check", observe).awaitTermination()
+    assert seen == [(0, 1)] and spark.read.parquet(f"{work}/good").count() == 1
+    spark.range(1).write.parquet(f"{work}/taken")
+    from pyspark.errors import StreamingQueryException
+
+    with pytest.raises(StreamingQueryException):
+        jobs.split_write(staged(spark, df, f"{work}/in"), f"{work}/good2", f"{work}/taken/_SUCCESS", f"{work}/check2").awaitTermination()
+
+
 def test_continuity_keeps_state_across_batches(spark, work):
     random.seed(6)
     data = [trade(i, exchange=random.choice("ab"), sequence=random.randrange(30)) for i in range(200)]

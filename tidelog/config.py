@@ -73,6 +73,13 @@ def symbols(text: str) -> list[str]:
     return found
 
 
+def store_settings(env: Mapping[str, str] = os.environ) -> dict[str, str]:
+    """Spark settings for the object store that the environment names; none if it names none."""
+    if not env.get("TIDELOG_STORE_ENDPOINT", "").strip():
+        return {}
+    return object_store(_text(env, "TIDELOG_STORE_ENDPOINT"), _text(env, "TIDELOG_STORE_ACCESS_KEY"), _text(env, "TIDELOG_STORE_SECRET_KEY"))
+
+
 def object_store(endpoint: str, access_key: str, secret_key: str) -> dict[str, str]:
     """Spark settings for an S3-compatible store reached by path, for the session builder."""
     prefix = "spark.hadoop.fs.s3a."

@@ -68,12 +68,14 @@ def utc_text(moment: Column) -> Column:
 
 def encoded(events: DataFrame) -> DataFrame:
     """(key, value, headers) of trade events: key exchange:SYMBOL, compact JSON with nulls kept, three headers."""
-    payload = F.from_json("payload", "map<string,string>")
-    fields = [utc_text(F.col(c)).alias(c) if c in ("event_time", "ingested_at") else payload.alias(c) if c == "payload" else F.col(c) for c in events.columns]
+    fields = [utc_text(F.col(c)).alias(c) if c in ("event_time", "ingested_at") else F.col(c) for c in events.columns if c != "payload"]
+    head = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    # the payload goes in as it came, so numbers stay numbers
+    value = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
     headers = [F.struct(F.lit(n).alias("key"), F.encode(F.col(n), "utf-8").alias("value")) for n in ("event_type", "schema_version", "trace_id")]
     return events.select(
         F.encode(F.concat_ws(":", X.exchange_key(F.col("exchange")), X.symbol_key(F.col("symbol"))), "utf-8").alias("key"),
-        F.encode(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), "utf-8").alias("value"),
+        F.encode(value, "utf-8").alias("value"),
         F.array(*headers).alias("headers"),
     )
 

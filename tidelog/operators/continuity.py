@@ -57,6 +57,21 @@ def silences(df: DataFrame, keys: Sequence[str], block: Sequence[str], order: Se
     return seen.where(quiet >= int(timeout_s * 1_000_000)).select(*keys, F.col("latest").alias("silent_from"), micros.alias("silent_to"), (quiet / 1e6).alias("seconds"))
 
 
+def quiet_times(df: DataFrame, keys: Sequence[str], at: str, timeout_s: int = HEARTBEAT_TIMEOUT_S) -> DataFrame:
+    """As ``silences``, in order of time itself, for timeouts of a second and more.
+
+    A silence cannot begin and end within one second, so seconds are reduced to their first and last sign
+    before anything is put in order: a key has 3,600 rows an hour at most, however many signs it gives.
+    """
+    micros = F.unix_micros(F.col(at))
+    second = F.floor(micros / 1_000_000)
+    seconds = df.where(F.col(at).isNotNull()).groupBy(*keys, second.alias("second")).agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
+    hours = seconds.withColumn("hour", F.floor(F.col("second") / 3600))
+    seen = running(hours, keys, ["hour"], ["second"], {"latest": ("max", F.col("last"))}, inclusive=False)
+    quiet = F.col("first") - F.col("latest")
+    return seen.where(quiet >= timeout_s * 1_000_000).select(*keys, F.col("latest").alias("silent_from"), F.col("first").alias("silent_to"), (quiet / 1e6).alias("seconds"))
+
+
 def summaries(df: DataFrame, keys: Sequence[str], at: str, interval_s: int = SUMMARY_INTERVAL_S) -> DataFrame:
     """Rows per key and tumbling interval."""
     tick = F.floor(F.unix_micros(F.col(at)) / (interval_s * 1_000_000)) * interval_s
@@ -73,7 +88,7 @@ def trades_of(parsed: DataFrame, *keep: str) -> DataFrame:
     events = F.coalesce("envelope.events", F.array().cast("array<struct<type:string,heartbeat_counter:string,trades:array<map<string,string>>>>"))
     trades = F.flatten(F.transform(events, lambda e: F.coalesce(e["trades"], F.array().cast("array<map<string,string>>"))))
     found = parsed.where("envelope.channel = 'market_trades'").select(*keep, "envelope.sequence_num", F.posexplode(trades).alias("at", "trade"))
-    return found.select(*keep, "sequence_num", "at", F.col("trade")["trade_id"].alias("trade_id"), F.col("trade")["product_id"].alias("product_id"), F.col("trade")["price"].alias("price"), F.col("trade")["size"].alias("size"))
+    return found.select(*keep, "sequence_num", "at", F.col("trade")["trade_id"].alias("trade_id"), F.col("trade")["product_id"].alias("product_id"), F.col("trade")["price"].alias("price"), F.col("trade")["size"].alias("size"), F.col("trade")["time"].alias("time"))
 
 
 def heartbeats_of(parsed: DataFrame, *keep: str) -> DataFrame:
@@ -112,10 +127,11 @@ def anomaly_events(counted: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 
 def lifecycles(messages: DataFrame, source: str, connection: str, started: str, seen: str) -> DataFrame:
-    """Per connection of a source: connection_opened for the first and connection_recovered for later ones, with its last sign.
+    """connection_opened for every connection of a source and, for every one after the first, connection_recovered as well.
 
     Connections are reduced before they are put in order, so a source's order holds one row for each.
     """
     each = messages.where(F.col(connection).isNotNull()).groupBy(source, connection).agg(F.min(started).alias("opened_at"), F.max(seen).alias("last_seen_at"))
     place = F.row_number().over(Window.partitionBy(source).orderBy("opened_at", connection))
-    return each.withColumn("observation_type", F.when(place == 1, "connection_opened").otherwise("connection_recovered"))
+    kinds = F.when(place == 1, F.array(F.lit("connection_opened"))).otherwise(F.array(F.lit("connection_opened"), F.lit("connection_recovered")))
+    return each.withColumn("kinds", kinds).withColumn("observation_type", F.explode("kinds")).drop("kinds")

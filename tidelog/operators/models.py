@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as X
 from tidelog.operators.archive import normalised_symbols
 
 
+def notional(price: Column, size: Column) -> Column:
+    """The product to 12 decimals: exact up to ten digits before the point on either side, to six decimals beyond; null where it has no room."""
+    exact = F.try_multiply(price.try_cast("decimal(18,8)"), size.try_cast("decimal(18,8)")).try_cast("decimal(38,12)")
+    wide = F.try_multiply(price.try_cast("decimal(28,8)"), size.try_cast("decimal(28,8)")).try_cast("decimal(38,12)")
+    return F.coalesce(exact, wide)
+
+
 def fct_market_trade(trades: DataFrame) -> DataFrame:
-    return trades.select("event_id", "exchange", "symbol", "event_time", "price", "size", "side", (F.col("price").cast("decimal(18,8)") * F.col("size").cast("decimal(18,8)")).alias("notional"))
+    return trades.select("event_id", "exchange", "symbol", "event_time", "price", "size", "side", notional(F.col("price"), F.col("size")).alias("notional"))
 
 
 def fct_quality_event(events: DataFrame) -> DataFrame:

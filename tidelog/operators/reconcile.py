@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.copy_diff import added_hash
 from tidelog.operators.running import running
 
 
@@ -25,9 +26,9 @@ def replay_differences(live: DataFrame, replay: DataFrame, keys: Sequence[str])
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """One row: rows and an order-free checksum; equal copies count by the number of rows."""
+    """One row: rows and an order-free checksum of three numbers; it adds, so equal copies do not cancel."""
     values = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*values)), F.lit(0)).alias("checksum"))
+    return df.agg(F.count("*").alias("rows"), *added_hash(values)).na.fill(0)
 
 
 def history_differences(history: DataFrame, archive: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,6 +62,23 @@ def around_incidents(incidents: DataFrame, trades: DataFrame, keys: Sequence[str
     return after.where("kind = 1").select("incident_id", *keys, at, "last_before", "first_after")
 
 
+def near_incidents(trades: DataFrame, incidents: DataFrame, keys: Sequence[str], at: str = "at") -> DataFrame:
+    """The trade times that can lie next to an incident: keys, at.
+
+    All times in seconds that have an incident, and the first and last of every other second, so a
+    block of time has a bounded number of rows however many trades it has.
+    """
+    micros = F.unix_micros(F.col(at))
+    second = F.floor(micros / 1_000_000)
+    marks = incidents.select(*[F.col(k).alias(f"of_{k}") for k in keys], second.alias("of_second")).distinct()
+    met = F.col("second") == F.col("of_second")
+    for key in keys:
+        met = met & F.col(key).eqNullSafe(F.col(f"of_{key}"))
+    rows = trades.select(*keys, micros.alias("t"), second.alias("second")).join(marks, met, "left")
+    ends = rows.groupBy(*keys, "second", F.when(F.col("of_second").isNotNull(), F.col("t")).alias("alone")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return ends.select(*keys, F.explode(F.array_distinct(F.array("first", "last"))).alias("t")).select(*keys, F.timestamp_micros("t").alias(at))
+
+
 def hourly_gaps(rows: DataFrame, at: str, keys: Sequence[str] = ()) -> DataFrame:
     """Hours without rows between the first and the last hour, of each key if there are any: keys, hour."""
     hours = rows.select(*keys, F.date_trunc("hour", at).alias("hour")).where("hour is not null").distinct()

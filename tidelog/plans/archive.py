@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelog import schemas
 from tidelog.functions import text as X
-from tidelog.operators import archive, audit, candles, continuity, contracts, curated, data_tests, models, reconcile
-from tidelog.plans.problems import _KEYS, _NUMBER, _strip
-from tidelog.session import shared_dir, table
+from tidelog.operators import archive, audit, candles, continuity, contracts, curated, data_tests, feed, models, reconcile, reject_rows
+from tidelog.plans.problems import _KEYS, _NUMBER, _strip, parsed_sql, valid_sql
+from tidelog.session import shared_dir, table, written
 from tidelog.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,10 +78,23 @@ def kafka_identity_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.positions(_log(spark, sf_dir))
 
 
-@query(f"SELECT {_P}, strftime(kafka_timestamp, '%Y-%m-%d') AS event_date, strftime(kafka_timestamp, '%H') AS event_hour, CAST(octet_length(kafka_value) AS BIGINT) AS value_bytes FROM kafka_record_snapshot")
+def _comparable(rows: DataFrame) -> DataFrame:
+    """All columns of the archive in types that both engines write alike."""
+    header = F.transform("kafka_headers", lambda h: F.concat(F.coalesce(h["key"], F.lit("?")), F.lit("="), F.coalesce(F.hex(h["value"]), F.lit("?"))))
+    return rows.select(
+        *audit.POSITION, F.unix_micros("kafka_timestamp").alias("timestamp_us"), F.col("kafka_timestamp_type").alias("timestamp_type"), F.hex("kafka_key").alias("key"),
+        F.sha2("kafka_value", 256).alias("value_sha256"), F.octet_length("kafka_value").cast("long").alias("value_bytes"), F.array_join(header, ",").alias("headers"),
+        F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_hour",
+    )
+
+
+@query(
+    f"""SELECT {_P}, epoch_us(kafka_timestamp) AS timestamp_us, kafka_timestamp_type AS timestamp_type, hex(kafka_key) AS key, sha256(kafka_value) AS value_sha256,
+    CAST(octet_length(kafka_value) AS BIGINT) AS value_bytes, array_to_string(list_transform(kafka_headers, lambda h: coalesce(h.key, '?') || '=' || coalesce(hex(h.value), '?')), ',') AS headers,
+    strftime(kafka_timestamp, '%Y-%m-%d') AS event_date, strftime(kafka_timestamp, '%H') AS event_hour FROM kafka_record_snapshot"""
+)
 def archive_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = archive.archive_rows(archive.log_records(_log(spark, sf_dir)))
-    return rows.select(*audit.POSITION, F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_hour", F.octet_length("kafka_value").cast("long").alias("value_bytes"))
+    return _comparable(archive.archive_rows(archive.log_records(_log(spark, sf_dir))))
 
 
 @query(f"WITH {_BOUNDS} SELECT * FROM b")
@@ -110,33 +123,77 @@ def sample_missing_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_positions(spark, sf_dir).orderBy(*audit.POSITION).limit(20)
 
 
-@query()
+def _filled_sql(name: str) -> str:
+    return f"coalesce(json_type(v, '$.{name}') = 'VARCHAR' AND {_strip(f"json_extract_string(v, '$.{name}')")} <> '', false)"
+
+
+_READABLE = f"""CASE WHEN unread IS NOT NULL THEN unread WHEN NOT {_filled_sql('event_id')} THEN 'missing_or_invalid_event_id' WHEN NOT {_filled_sql('event_type')} THEN 'missing_or_invalid_event_type'
+    WHEN NOT {_filled_sql('schema_version')} THEN 'missing_or_invalid_schema_version' END"""
+_CHECKED = f"c AS (SELECT {_P}, kafka_value, v, {_READABLE} AS invalid_reason FROM w)"
+
+
+@query(f"WITH {parsed_sql('raw_kafka_record')}, {_CHECKED} SELECT {_P}, CASE WHEN invalid_reason IS NULL THEN json_extract_string(v, '$.event_id') END AS event_id, invalid_reason FROM c")
 def event_validation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.validated(_archive(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {parsed_sql('raw_kafka_record')}, {_CHECKED} SELECT json_extract_string(v, '$.event_id') AS event_id, count(*) AS occurrences FROM c WHERE invalid_reason IS NULL GROUP BY 1 HAVING count(*) > 1"""
+)
 def duplicate_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.duplicate_event_ids(audit.validated(_archive(spark, sf_dir)))
 
 
-@query()
+_GLOBAL = f"""{_INSIDE}, {parsed_sql('i')}, {_CHECKED}, e AS (SELECT json_extract_string(v, '$.event_id') AS id FROM c WHERE invalid_reason IS NULL GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query(
+    f"""WITH {_GLOBAL} SELECT (SELECT count(*) FROM kafka_record_snapshot) AS kafka_records, (SELECT count(*) FROM c WHERE invalid_reason IS NOT NULL) AS invalid_event_values,
+    (SELECT count(*) FROM e) AS duplicate_event_ids"""
+)
 def report_global_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.global_counts(_log(spark, sf_dir), _archive(spark, sf_dir))
 
 
-@query(f"SELECT {_P}, sha256(kafka_value) AS message_sha256 FROM raw_kafka_record")
+@query(
+    f"""WITH {_GLOBAL}, {_MISSING}, {_DUPLICATES} SELECT min(b.kafka_topic) AS topic, count(*) AS partitions, CAST(sum(kafka_records) AS BIGINT) AS kafka_records, (SELECT count(*) FROM i) AS archived, (SELECT count(*) FROM m) AS missing,
+    (SELECT count(*) FROM d) AS repeated, (SELECT count(*) FROM c WHERE invalid_reason IS NOT NULL) AS invalid, (SELECT count(*) FROM e) AS repeated_ids, 'failed' AS status,
+    least(20, (SELECT count(*) FROM m)) + least(20, (SELECT count(*) FROM d)) + least(20, (SELECT count(*) FROM c WHERE invalid_reason IS NOT NULL)) + least(20, (SELECT count(*) FROM e)) AS sampled FROM b"""
+)
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit, and its report in one row."""
+    body = audit.audit(_log(spark, sf_dir), _archive(spark, sf_dir)).body
+    sums = [sum(p[n] for p in body["partitions"]) for n in ("kafka_records", *audit.COUNTERS)]
+    row = [body["topic"], len(body["partitions"]), *sums, body["invalid_event_values"], body["duplicate_event_ids"], body["status"], sum(map(len, body["samples"].values()))]
+    return spark.createDataFrame([row], "topic string, partitions long, kafka_records long, archived long, missing long, repeated long, invalid long, repeated_ids long, status string, sampled long")
+
+
+_EXCERPT = "substr(TRY(decode(kafka_value)), 1, 256) AS message_excerpt"
+
+
+def _of_valid_text(df: DataFrame) -> DataFrame:
+    """An excerpt with replaced bytes is the engine's own; the SQL knows those of valid texts."""
+    return df.withColumn("message_excerpt", F.when(~F.col("message_excerpt").contains("\ufffd"), F.col("message_excerpt")))
+
+
+@query(f"SELECT {_P}, sha256(kafka_value) AS message_sha256, CASE WHEN NOT contains(TRY(decode(kafka_value)), chr(65533)) THEN substr(TRY(decode(kafka_value)), 1, 256) END AS message_excerpt FROM raw_kafka_record")
 def malformed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.value_fingerprint(_archive(spark, sf_dir)).drop("message_excerpt")
+    return _of_valid_text(audit.value_fingerprint(_archive(spark, sf_dir), 1 << 30)).withColumn("message_excerpt", F.substring("message_excerpt", 1, 256))
 
 
-@query()
+@query(
+    f"""WITH {parsed_sql('raw_kafka_record')}, {_CHECKED} SELECT {_P}, invalid_reason AS reason, CAST(octet_length(kafka_value) AS BIGINT) AS message_bytes, sha256(kafka_value) AS message_sha256
+    FROM c WHERE invalid_reason IS NOT NULL"""
+)
 def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.malformed_messages(_archive(spark, sf_dir))
+    """Excerpts are compared by malformed_fingerprint."""
+    return audit.malformed_messages(_archive(spark, sf_dir)).drop("message_excerpt").withColumn("message_bytes", F.col("message_bytes").cast("long"))
 
 
 # --- continuity ----------------------------------------------------------------------------------
 
+_V5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4) + 1, 1)
+    || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
 _SEQ = ["exchange", "symbol"]
 _BLOCK = ["kafka_partition", "block"]
 _ORDER = ["kafka_partition", "kafka_offset"]
@@ -180,20 +237,24 @@ def running_health_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SEQUENCE} SELECT exchange, symbol, kafka_offset, CASE status WHEN 'gap' THEN 'sequence_gap' WHEN 'duplicate' THEN 'duplicate_sequence' ELSE 'out_of_order_sequence' END AS observation_type,
-    previous AS previous_sequence, source_sequence AS current_sequence, CASE WHEN status = 'gap' THEN previous + 1 END AS missing_from, CASE WHEN status = 'gap' THEN source_sequence - 1 END AS missing_to
-    FROM c WHERE status IN ('gap', 'duplicate', 'out_of_order')"""
+    f"""WITH {_SEQUENCE}, h AS (SELECT *, sha1(unhex('{X.NAMESPACE_URL}') || encode('{{"stream":"trades","exchange":"' || exchange || '","symbol":"' || symbol || '","kafka_partition":' || kafka_partition || ',"kafka_offset":' || kafka_offset || '}}')) AS h,
+    CAST(count(*) OVER w AS BIGINT) AS envelopes_observed, CAST(sum(CASE WHEN status = 'gap' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS sequence_gap_count,
+    CAST(sum(CASE WHEN status = 'duplicate' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS duplicate_sequence_count, CAST(sum(CASE WHEN status = 'out_of_order' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS out_of_order_sequence_count
+    FROM c WINDOW w AS (PARTITION BY exchange, symbol ORDER BY kafka_partition, kafka_offset ROWS UNBOUNDED PRECEDING))
+    SELECT {_V5} AS event_id, 'market.data.quality' AS event_type, 'v1' AS schema_version, CASE status WHEN 'gap' THEN 'sequence_gap' WHEN 'duplicate' THEN 'duplicate_sequence' ELSE 'out_of_order_sequence' END AS observation_type,
+    'trades' AS stream, exchange, symbol, kafka_partition, kafka_offset, previous AS previous_sequence, source_sequence AS current_sequence, CASE WHEN status = 'gap' THEN previous + 1 END AS missing_from,
+    CASE WHEN status = 'gap' THEN source_sequence - 1 END AS missing_to, source_sequence AS last_envelope_sequence, envelopes_observed, sequence_gap_count, duplicate_sequence_count, out_of_order_sequence_count
+    FROM h WHERE status IN ('gap', 'duplicate', 'out_of_order')"""
 )
 def anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = continuity.health(_classified(spark, sf_dir), _SEQ, _BLOCK, _ORDER, "source_sequence")
-    events = continuity.anomaly_events(counted, _SEQ, _ORDER, "source_sequence", "trades")
-    return events.select(*_SEQ, "kafka_offset", "observation_type", "previous_sequence", "current_sequence", "missing_from", "missing_to")
+    return continuity.anomaly_events(counted, _SEQ, _ORDER, "source_sequence", "trades")
 
 
 @query(
     f"""WITH e AS (SELECT lower({_strip('exchange')}) AS exchange, connection_id, min(connection_started_at) AS opened, max(detected_at) AS seen FROM market_data_quality_event
     WHERE connection_id IS NOT NULL GROUP BY 1, 2) SELECT exchange, connection_id, epoch_us(opened) AS opened_us, epoch_us(seen) AS last_seen_us,
-    CASE WHEN row_number() OVER (PARTITION BY exchange ORDER BY opened NULLS FIRST, connection_id) = 1 THEN 'connection_opened' ELSE 'connection_recovered' END AS observation_type FROM e"""
+    unnest(CASE WHEN row_number() OVER (PARTITION BY exchange ORDER BY opened NULLS FIRST, connection_id) = 1 THEN ['connection_opened'] ELSE ['connection_opened', 'connection_recovered'] END) AS observation_type FROM e"""
 )
 def connection_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _quality(spark, sf_dir).withColumn("exchange", X.exchange_key(F.col("exchange")))
@@ -213,8 +274,7 @@ def last_observed_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT exchange, latest AS silent_from, t AS silent_to, (t - latest) / 1e6 AS seconds FROM p WHERE t - latest >= 60000000"""
 )
 def heartbeat_silence_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _arrivals(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "kafka_timestamp"))
-    return continuity.silences(rows, ["exchange"], ["hour"], ["kafka_timestamp", *_ORDER], "kafka_timestamp", 60)
+    return continuity.quiet_times(_arrivals(spark, sf_dir), ["exchange"], "kafka_timestamp", 60)
 
 
 @query(f"SELECT exchange, tick_s, CAST(count(*) AS BIGINT) AS observed FROM (SELECT {_KEYS}, epoch_us(kafka_timestamp) // 60000000 * 60 AS tick_s FROM market_trade_raw_event) GROUP BY 1, 2")
@@ -233,11 +293,11 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT kafka_partition, kafka_offset, CAST(source_sequence AS VARCHAR) AS sequence_num, n AS "at", json_extract_string(payload, '$.trade_id') AS trade_id,
-    json_extract_string(payload, '$.product_id') AS product_id FROM market_trade_raw_event, (VALUES (0), (1)) v(n) WHERE source_sequence IS NOT NULL"""
+    json_extract_string(payload, '$.product_id') AS product_id, json_extract_string(payload, '$.price') AS price, json_extract_string(payload, '$.size') AS size, json_extract_string(payload, '$.time') AS time FROM market_trade_raw_event, (VALUES (0), (1)) v(n) WHERE source_sequence IS NOT NULL"""
 )
 def flatten_message_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = continuity.trades_of(continuity.envelopes(_messages(spark, sf_dir)), *_ORDER)
-    return found.select(*_ORDER, "sequence_num", "at", "trade_id", "product_id")
+    return found.select(*_ORDER, "sequence_num", "at", "trade_id", "product_id", "price", "size", "time")
 
 
 @query(
@@ -251,9 +311,11 @@ def flatten_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity, envelope, contracts ---------------------------------------------------------------
 
 _NAME = f"""'["market.trade.raw","v1","' || lower({_strip('exchange')}) || '","' || upper({_strip('symbol')}) || '","' || {_strip('source_event_id')} || '"]'"""
-_V5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4) + 1, 1)
-    || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
-_IDS = f"ids AS (SELECT *, {_V5} AS derived_id FROM (SELECT *, sha1(unhex('{X.NAMESPACE_URL}') || encode({_NAME})) AS h FROM market_trade_raw_event))"
+def _ids_sql(source: str) -> str:
+    return f"ids AS (SELECT *, {_V5} AS derived_id FROM (SELECT *, sha1(unhex('{X.NAMESPACE_URL}') || encode({_NAME})) AS h FROM {source}))"
+
+
+_IDS = _ids_sql("market_trade_raw_event")
 
 
 @query(f"WITH {_IDS} SELECT kafka_partition, kafka_offset, derived_id FROM ids")
@@ -263,25 +325,40 @@ def event_id_v5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_IDS} SELECT derived_id AS event_id, 'market.trade.raw' AS event_type, 'v1' AS schema_version, {_strip('exchange')} AS exchange, {_strip('symbol')} AS symbol,
-    {_strip('source_event_id')} AS source_event_id, source_sequence, 'apps.collector' AS producer, trace_id, payload FROM ids"""
+    epoch_us(event_time) AS event_time, epoch_us(ingested_at) AS ingested_at, {_strip('source_event_id')} AS source_event_id, source_sequence, 'apps.collector' AS producer, trace_id,
+    CAST(NULL AS VARCHAR) AS correlation_id, CAST(NULL AS VARCHAR) AS causation_id, payload FROM ids"""
 )
 def envelope_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.trade_events(_trades(spark, sf_dir)).drop("event_time", "ingested_at", "correlation_id", "causation_id")
+    return archive.trade_events(_trades(spark, sf_dir)).withColumns({n: F.unix_micros(n) for n in ("event_time", "ingested_at")})
+
+
+def _json_sql() -> str:
+    def time(name: str) -> str:
+        return f"""'"' || strftime({name}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({name}) % 1000000 = 0 THEN '' ELSE strftime({name}, '.%f') END || 'Z"'"""
 
+    text = {n: f"to_json({_strip(n)})" for n in ("exchange", "symbol", "source_event_id")} | {"event_id": "to_json(derived_id)", "trace_id": "to_json(trace_id)", "source_sequence": "CAST(source_sequence AS VARCHAR)"}
+    text |= {n: f"""'"{v}"'""" for n, v in (("event_type", "market.trade.raw"), ("schema_version", "v1"), ("producer", "apps.collector"))} | {n: time(n) for n in ("event_time", "ingested_at")} | {"payload": "payload"}
+    names = [part.split()[0] for part in schemas.TRADE_EVENT.split(", ")]
+    return "'{' || " + " || ',' || ".join(f"""'"{n}":' || coalesce(CAST({text.get(n, 'NULL')} AS VARCHAR), 'null')""" for n in names) + " || '}'"
 
-@query(f"SELECT lower({_strip('exchange')}) || ':' || upper({_strip('symbol')}) AS key, trace_id, 3 AS headers FROM market_trade_raw_event")
+
+@query(
+    f"""WITH {_IDS} SELECT lower({_strip('exchange')}) || ':' || upper({_strip('symbol')}) AS key, {_json_sql()} AS value,
+    'event_type=market.trade.raw,schema_version=v1,trace_id=' || coalesce(trace_id, '?') AS headers FROM ids"""
+)
 def kafka_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.encoded(archive.trade_events(_trades(spark, sf_dir)))
-    return records.select(F.decode("key", "utf-8").alias("key"), F.get_json_object(F.decode("value", "utf-8"), "$.trace_id").alias("trace_id"), F.size("headers").alias("headers"))
+    header = F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), F.coalesce(F.decode(h["value"], "utf-8"), F.lit("?"))))
+    return records.select(F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").alias("value"), F.array_join(header, ",").alias("headers"))
 
 
 @query(
-    f"""SELECT event_id, connection_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(affected_symbols, lambda s: upper({_strip('s')})), lambda s: s <> ''))), ',') AS symbols
-    FROM market_data_quality_event"""
+    f"""WITH n AS (SELECT event_id, connection_id, list_filter(list_transform(affected_symbols, lambda s: upper({_strip('s')})), lambda s: s <> '') AS l FROM market_data_quality_event)
+    SELECT event_id, connection_id, array_to_string(list_filter(l, lambda s, i: list_position(l, s) = i), ',') AS symbols FROM n"""
 )
 def symbol_normalise_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = archive.normalised_symbols(F.col("affected_symbols"))
-    return _quality(spark, sf_dir).select("event_id", "connection_id", F.array_join(F.array_sort(symbols), ",").alias("symbols"))
+    return _quality(spark, sf_dir).select("event_id", "connection_id", F.array_join(symbols, ",").alias("symbols"))
 
 
 @query(
@@ -347,13 +424,17 @@ def _amount(name: str) -> str:
     return f"CASE WHEN regexp_matches({text}, {_NUMBER}) THEN TRY_CAST({text} AS DOUBLE) END AS {name}"
 
 
-_CURATED = f"""{_IDS}, t AS (SELECT derived_id AS event_id, {_KEYS}, {_strip('source_event_id')} AS source_event_id, source_sequence, event_time, ingested_at, {_amount('price')}, {_amount('size')},
+def _curated_sql(ids: str) -> str:
+    return f"""{ids}, t AS (SELECT derived_id AS event_id, {_KEYS}, {_strip('source_event_id')} AS source_event_id, source_sequence, event_time, ingested_at, {_amount('price')}, {_amount('size')},
     upper(json_extract_string(payload, '$.side')) AS side, kafka_partition, kafka_offset, kafka_timestamp FROM ids),
     j AS (SELECT *, CASE WHEN event_id IS NULL THEN 'event_id_present' WHEN event_time IS NULL THEN 'event_time_present' WHEN price IS NULL THEN 'price_present' WHEN size IS NULL THEN 'size_present'
       WHEN price <= 0 THEN 'price_positive' WHEN size <= 0 THEN 'size_positive' WHEN side NOT IN ('BUY', 'SELL') THEN 'side_known' WHEN ingested_at < event_time THEN 'not_before_event' END AS reason FROM t),
     o AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingested_at, kafka_partition, kafka_offset) AS n FROM j WHERE reason IS NULL) WHERE n = 1)"""
 
 
+_CURATED = _curated_sql(_IDS)
+
+
 def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curated.quarantined(curated.curated(_trades(spark, sf_dir)))[0]
 
@@ -396,14 +477,33 @@ def candles_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(candles.rolled_up(candles.candles(_once(spark, sf_dir))))
 
 
-@query("SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('high_bounds'), ('low_bounds'), ('volume_minimum'), ('trades_minimum')) v(rule)")
+#: Candles over everything that could be read, good or not, so that the rules have something to find.
+_RAW_BARS = f"""{_CURATED}, a AS (SELECT arg_min(price, (event_time, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (event_time, event_id)) AS close, sum(CAST(size AS DECIMAL(38,12))) AS volume, count(*) AS trades
+    FROM t WHERE event_time IS NOT NULL GROUP BY exchange, symbol, epoch_us(event_time) // 60000000)"""
+_BAR_RULES = {
+    "high_bounds": "high >= greatest(open, close, low)",
+    "low_bounds": "low <= least(open, close, high)",
+    "volume_minimum": "volume >= 0",
+    "trades_minimum": "trades >= 1",
+}
+
+
+def _violated(rules: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST(count(*) FILTER (WHERE NOT ({sql})) AS BIGINT) AS violations FROM {source}" for rule, sql in rules.items())
+
+
+@query(f"WITH {_RAW_BARS} {_violated(_BAR_RULES, 'a')}")
 def candle_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contracts.violation_counts(candles.candles(_once(spark, sf_dir)), candles.candle_rules())
+    return contracts.violation_counts(candles.candles(curated.curated(_trades(spark, sf_dir)).where("event_time is not null")), candles.candle_rules())
 
 
-@query(f"WITH {_CURATED} SELECT event_id, exchange, symbol, side, CAST(round(CAST(price AS DECIMAL(38,8)) * CAST(size AS DECIMAL(38,8)), 4) AS DOUBLE) AS notional FROM o")
+@query(
+    f"""WITH {_CURATED} SELECT event_id, exchange, symbol, epoch_us(event_time) AS event_time, round(price, 6) AS price, round(size, 6) AS size, side,
+    CAST(round(CAST(price AS DECIMAL(38,8)) * CAST(size AS DECIMAL(38,8)), 4) AS DOUBLE) AS notional FROM o"""
+)
 def fct_market_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fct_market_trade(_once(spark, sf_dir)).select("event_id", "exchange", "symbol", "side", F.round("notional", 4).cast("double").alias("notional"))
+    facts = _numbers(models.fct_market_trade(_once(spark, sf_dir)).withColumn("notional", F.round("notional", 4).cast("double")), "price", "size")
+    return facts.withColumn("event_time", F.unix_micros("event_time"))
 
 
 @query(
@@ -436,9 +536,14 @@ def mart_pipeline_health_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "records", "late", "max_lag", "total_lag")
 
 
-@query(f"SELECT DISTINCT event_id, connection_id, lower({_strip('exchange')}) AS exchange FROM market_data_quality_event WHERE event_id IS NOT NULL")
+@query(
+    f"""WITH n AS (SELECT *, lower({_strip('exchange')}) AS e, list_filter(list_transform(affected_symbols, lambda s: upper({_strip('s')})), lambda s: s <> '') AS l FROM market_data_quality_event WHERE event_id IS NOT NULL)
+    SELECT event_id, connection_id, e AS exchange, arg_min(observation_type, detected_at) AS observation_type, epoch_us(min(detected_at)) AS detected_at,
+    array_to_string(arg_min(list_filter(l, lambda s, i: list_position(l, s) = i), detected_at), ',') AS symbols FROM n GROUP BY 1, 2, 3"""
+)
 def fct_quality_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.fct_quality_event(_quality(spark, sf_dir)).select("event_id", "connection_id", "exchange")
+    facts = models.fct_quality_event(_quality(spark, sf_dir))
+    return facts.select("event_id", "connection_id", "exchange", "observation_type", F.unix_micros("detected_at").alias("detected_at"), F.array_join("symbols", ",").alias("symbols"))
 
 
 @query(
@@ -467,26 +572,20 @@ def count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data_tests.reconciled_counts(raw, good, curated.first_of_each(good), bad)
 
 
-_TESTS = (
-    "event_id_present event_time_present price_present size_present price_positive size_positive side_known not_before_event "
-    "high_bounds low_bounds volume_minimum trades_minimum event_id_unique candle_unique"
-).split()
-
-
-@query("SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES " + ", ".join(f"('{t}')" for t in _TESTS) + ") v(rule)")
-def data_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _once(spark, sf_dir)
-    return data_tests.trade_test_results(once, candles.candles(once))
+_TRADE_RULES = {
+    "event_id_present": "event_id IS NOT NULL", "event_time_present": "event_time IS NOT NULL", "price_present": "price IS NOT NULL", "size_present": "size IS NOT NULL", "price_positive": "coalesce(price > 0, false)",
+    "size_positive": "coalesce(size > 0, false)", "side_known": "coalesce(side IN ('BUY', 'SELL'), true)", "not_before_event": "coalesce(ingested_at >= event_time, true)",
+}
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT epoch_us(event_time) // 3600000000 AS h FROM market_trade_raw_event WHERE event_time IS NOT NULL AND lower(exchange) = 'pavisade'), g AS (SELECT h, lead(h) OVER (ORDER BY h) AS n FROM h)
-    SELECT strftime(make_timestamp(x * 3600000000), '%Y-%m-%d %H') AS hour FROM (SELECT unnest(range(h + 1, n)) AS x FROM g WHERE n > h + 1)"""
+    f"""WITH {_RAW_BARS}, y AS (SELECT event_id FROM t WHERE event_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) {_violated(_TRADE_RULES, 't')} UNION ALL {_violated(_BAR_RULES, 'a')}
+    UNION ALL SELECT 'event_id_unique', count(*) FROM y UNION ALL SELECT 'candle_unique', 0"""
 )
-def hourly_freshness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours in which one of the smaller exchanges sent nothing; hourly_freshness_gaps_by_exchange covers all of them."""
-    rows = _trades(spark, sf_dir).where(F.lower("exchange") == "pavisade")
-    return reconcile.hourly_gaps(rows, "event_time").select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"))
+def data_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests over what could be read, before bad rows and copies are taken out."""
+    typed = curated.curated(_trades(spark, sf_dir))
+    return data_tests.trade_test_results(typed, candles.candles(typed.where("event_time is not null")))
 
 
 @query(
@@ -501,17 +600,33 @@ def hourly_freshness_gaps_by_exchange(spark: SparkSession, sf_dir: str) -> DataF
 
 
 def _stored_bars(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Minute counts from the values of the log or of the archive."""
-    time = F.get_json_object(F.try_validate_utf8(F.col("kafka_value").cast("string")), "$.source_event_id")
-    rows = table(spark, sf_dir, source).select("kafka_partition", F.date_trunc("minute", "kafka_timestamp").alias("minute"), time.alias("id"))
-    return rows.groupBy("kafka_partition", "minute").agg(F.count("*").alias("records"), F.max("id").alias("newest"))
+    """Candles from the valid events among the values of the log or of the archive, each trade once."""
+    events = reject_rows.loaded(table(spark, sf_dir, source)).withColumn("kafka_timestamp", F.lit(None).cast("timestamp"))
+    good, _ = curated.quarantined(curated.curated(events))
+    return _shown(candles.candles(curated.first_of_each(good)))
 
 
-@query()
+_BAR = ("open", "high", "low", "close", "volume", "trades")
+
+
+def _replay_sql() -> str:
+    def bars(source: str) -> str:
+        order = "(event_time, event_id)"
+        return f"""WITH {valid_sql(source)}, g AS (SELECT *, CAST(NULL AS TIMESTAMP) AS kafka_timestamp FROM f), {_curated_sql(_ids_sql('g'))}
+        SELECT exchange, symbol, strftime(make_timestamp(epoch_us(event_time) // 60000000 * 60000000), '%Y-%m-%d %H:%M') AS period_start, round(arg_min(price, {order}), 6) AS open, round(max(price), 6) AS high,
+        round(min(price), 6) AS low, round(arg_max(price, {order}), 6) AS close, CAST(round(sum(CAST(size AS DECIMAL(38,12))), 6) AS DOUBLE) AS volume, count(*) AS trades FROM o GROUP BY exchange, symbol, epoch_us(event_time) // 60000000"""
+
+    met = "l.exchange = r.exchange AND l.symbol = r.symbol AND l.period_start = r.period_start"
+    unequal = " UNION ALL ".join(f"SELECT l.exchange, l.symbol, l.period_start, '{c}' AS difference FROM live l JOIN replay r ON {met} WHERE l.{c} IS DISTINCT FROM r.{c}" for c in _BAR)
+    return f"""WITH live AS ({bars('kafka_record_snapshot')}), replay AS ({bars('raw_kafka_record')})
+    SELECT exchange, symbol, period_start, 'only_live' AS difference FROM live l WHERE NOT EXISTS (SELECT 1 FROM replay r WHERE {met})
+    UNION ALL SELECT exchange, symbol, period_start, 'only_replay' FROM replay r WHERE NOT EXISTS (SELECT 1 FROM live l WHERE {met}) UNION ALL {unequal}"""
+
+
+@query(_replay_sql())
 def replay_equals_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, replay = (_stored_bars(spark, sf_dir, s) for s in ("kafka_record_snapshot", "raw_kafka_record"))
-    found = reconcile.replay_differences(live, replay, ["kafka_partition", "minute"])
-    return found.select("kafka_partition", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "difference")
+    return reconcile.replay_differences(live, replay, ["exchange", "symbol", "period_start"])
 
 
 @query(
@@ -540,40 +655,66 @@ def incident_windows_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     incident = F.concat("event_id", F.lit("/"), "connection_id").alias("incident_id")
     incidents = gaps.select(incident, X.exchange_key(F.col("exchange")).alias("exchange"), F.col("detected_at").alias("at")).where("incident_id is not null").distinct()
     trades = _trades(spark, sf_dir).where("event_time is not null").select(X.exchange_key(F.col("exchange")).alias("exchange"), F.col("event_time").alias("at"))
-    found = reconcile.around_incidents(incidents.select("*", hour), trades.select("*", hour), ["exchange"], "block")
+    near = reconcile.near_incidents(trades, incidents, ["exchange"])
+    found = reconcile.around_incidents(incidents.select("*", hour), near.select("*", hour), ["exchange"], "block")
     return found.select("incident_id", "exchange", F.unix_micros("last_before").alias("last_before"), F.unix_micros("first_after").alias("first_after"))
 
 
 # --- streaming -----------------------------------------------------------------------------------
 
 
-def _staged(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    """The rows as a file stream with their own schema."""
-    df.write.mode("overwrite").parquet(f"{folder}/input")
-    return spark.readStream.schema(df.schema).parquet(f"{folder}/input")
+SLICES = 3
+
+
+def _arriving(spark: SparkSession, df: DataFrame, folder: str, order: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows arrive as files in slices by a column; after each slice the stream is started anew from its checkpoint."""
+    rank = F.unix_micros(order) if df.schema[order].dataType.typeName() == "timestamp" else F.col(order).cast("long")
+    cuts = sorted(set(df.select(rank.alias("r")).approxQuantile("r", [i / SLICES for i in range(1, SLICES)], 0.01)))
+    result = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        above = F.lit(True) if low is None else rank >= low
+        inside = above if high is None else above & (rank < high)
+        df.where(inside if low is not None else inside | rank.isNull()).write.mode("append").parquet(f"{folder}/input")
+        result = run(spark.readStream.schema(df.schema).parquet(f"{folder}/input"))
+    return result
 
 
 @query(ORACLE_SQL["archive_projection"])
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    stream = _staged(spark, archive.log_records(_log(spark, sf_dir)), folder)
-    jobs.to_archive(stream, f"{folder}/archive", f"{folder}/checkpoint").awaitTermination()
-    rows = spark.read.schema(schemas.ARCHIVE_ROW).parquet(f"{folder}/archive")
-    return rows.select(*audit.POSITION, F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "event_hour", F.octet_length("kafka_value").cast("long").alias("value_bytes"))
+
+    def run(stream: DataFrame) -> DataFrame:
+        jobs.to_archive(stream, f"{folder}/archive", f"{folder}/checkpoint").awaitTermination()
+        return spark.read.schema(schemas.ARCHIVE_ROW).parquet(f"{folder}/archive")
+
+    return _comparable(_arriving(spark, archive.log_records(_log(spark, sf_dir)), folder, "timestamp", run))
 
 
-@query(f"WITH {_CURATED} SELECT DISTINCT event_id FROM j WHERE reason IS NULL")
+@query(f"WITH {_CURATED} SELECT DISTINCT event_id, exchange, symbol FROM j WHERE reason IS NULL")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    good, _ = curated.quarantined(curated.curated(_staged(spark, _trades(spark, sf_dir), folder)))
-    return jobs.drained(jobs.once_within_watermark(good).select("event_id"), folder)
+
+    def run(stream: DataFrame) -> DataFrame:
+        good, _ = curated.quarantined(curated.curated(stream))
+        return jobs.drained(jobs.once_within_watermark(good, "60 days").select("event_id", "exchange", "symbol"), folder)
+
+    return _arriving(spark, _trades(spark, sf_dir), folder, "kafka_timestamp", run)
+
+
+#: Lateness of the candle stream: what comes later than that behind the greatest event time of an earlier batch is dropped.
+_LATENESS_S = 6 * 3600
 
 
 @query()
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of the windows that the watermark has closed; which those are depends on the batches, so there is no SQL."""
     folder = shared_dir(spark)
-    good, _ = curated.quarantined(curated.curated(_staged(spark, _trades(spark, sf_dir), folder)))
-    return _shown(jobs.drained(jobs.live_candles(jobs.once_within_watermark(good), lateness=None), folder))
+
+    def run(stream: DataFrame) -> DataFrame:
+        good, _ = curated.quarantined(curated.curated(stream))
+        return _shown(jobs.drained(jobs.live_candles(jobs.once_within_watermark(good, f"{_LATENESS_S} seconds"), lateness=None), folder))
+
+    return _arriving(spark, _trades(spark, sf_dir), folder, "kafka_timestamp", run)
 
 
 @query(
@@ -583,5 +724,105 @@ def stream_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     for name, value in jobs.STATE_STORE.items():
         spark.conf.set(name, value)
-    rows = jobs.sequence_rows(_staged(spark, _trades(spark, sf_dir), folder))
-    return jobs.drained(jobs.continuity(rows), folder).select("key", "arrival", "current", "previous", "status")
+    position = F.col("kafka_partition").cast("long") * (1 << 48) + F.col("kafka_offset")
+    found = _arriving(spark, _trades(spark, sf_dir).withColumn("position", position), folder, "position", lambda s: jobs.drained(jobs.continuity(jobs.sequence_rows(s)), folder))
+    return found.select("key", "arrival", "current", "previous", "status")
+
+
+# --- feed ----------------------------------------------------------------------------------------
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed messages around the stored deliveries: one connection for each exchange and day, in order of position.
+
+    Symbols against EUR stand for heartbeats. Dirt comes from dirt: a price that is no number makes the
+    envelope's number a text, an odd side costs the trade its product, an odd identifier is an odd counter.
+    """
+    trades = _trades(spark, sf_dir)
+    payload = F.from_json("payload", "price string, side string")
+    number = F.when(X.number(payload["price"]).isNull(), F.lit('"x"')).otherwise(F.coalesce(F.col("source_sequence").cast("string"), F.lit("null")))
+    beat = F.to_json(F.struct(F.col("source_event_id").alias("heartbeat_counter")))
+    trade = F.when(F.coalesce(F.upper(payload["side"]).isin("BUY", "SELL"), F.lit(False)), F.col("payload")).otherwise(F.lit('{"trade_id":"1"}'))
+    is_beat = X.symbol_key(F.col("symbol")).endswith("-EUR")
+    head = F.concat(F.lit('","sequence_num":'), number, F.lit(',"events":['))
+    raw = F.when(is_beat, F.concat(F.lit('{"channel":"heartbeats'), head, beat, F.lit("]}"))).otherwise(F.concat(F.lit('{"channel":"market_trades'), head, F.lit('{"type":"update","trades":['), trade, F.lit("]}]}")))
+    return trades.select(
+        F.concat_ws(":", X.exchange_key(F.col("exchange")), F.date_format("kafka_timestamp", "yyyy-MM-dd")).alias("connection_id"),
+        (F.col("kafka_partition").cast("long") * (1 << 48) + F.col("kafka_offset")).alias("arrival_no"),
+        F.col("kafka_timestamp").alias("received_at"),
+        raw.alias("raw"),
+    )
+
+
+def _feed_sql() -> str:
+    price = "trim(json_extract_string(payload, '$.price'))"
+    obs = "connection_id, arrival_no, t, NOT (beat AND counter IS NULL) AS counted"
+    window = "PARTITION BY connection_id, stream ORDER BY arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""f AS (SELECT lower({_strip('exchange')}) || ':' || strftime(kafka_timestamp, '%Y-%m-%d') AS connection_id, kafka_partition * 281474976710656 + kafka_offset AS arrival_no, epoch_us(kafka_timestamp) AS t,
+        ends_with(upper({_strip('symbol')}), '-EUR') AS beat, coalesce(regexp_matches({price}, {_NUMBER}), false) AS numbered, source_sequence AS sequence, source_event_id,
+        TRY_CAST({_strip('source_event_id')} AS BIGINT) AS counter, coalesce(upper(json_extract_string(payload, '$.side')) IN ('BUY', 'SELL'), false) AS sided FROM market_trade_raw_event),
+    m AS (SELECT *, CASE WHEN NOT numbered THEN 'invalid_sequence_num' WHEN beat AND source_event_id IS NULL THEN 'missing_heartbeat_counter' WHEN beat AND counter IS NULL THEN 'invalid_heartbeat_counter'
+        WHEN NOT beat AND NOT sided THEN 'missing_product_id' END AS reason FROM f),
+    n AS (SELECT {obs}, 'envelope' AS stream, sequence AS current FROM m WHERE numbered AND sequence IS NOT NULL
+        UNION ALL SELECT {obs}, 'heartbeat', counter FROM m WHERE numbered AND beat AND counter IS NOT NULL),
+    p AS (SELECT *, max(current) OVER ({window}) AS previous FROM n),
+    q AS (SELECT *, CASE WHEN previous IS NULL THEN 'initialized' WHEN current = previous + 1 THEN 'ok' WHEN current = previous THEN 'duplicate' WHEN current < previous THEN 'out_of_order' ELSE 'gap' END AS status FROM p)"""
+
+
+_JUDGED = f"""{_feed_sql()}, g AS (SELECT connection_id, arrival_no, sum(CASE WHEN stream = 'heartbeat' THEN 1 ELSE 0 END) AS heartbeats, sum(CASE WHEN status = 'gap' THEN 1 ELSE 0 END) AS gaps,
+    sum(CASE WHEN status = 'duplicate' THEN 1 ELSE 0 END) AS duplicates, sum(CASE WHEN status = 'out_of_order' THEN 1 ELSE 0 END) AS out_of_order,
+    max(CASE WHEN stream = 'envelope' THEN current END) AS envelope, max(CASE WHEN stream = 'heartbeat' THEN current END) AS heartbeat FROM q WHERE counted GROUP BY 1, 2),
+    a AS (SELECT m.connection_id, m.arrival_no, CASE WHEN NOT beat AND reason IS NULL THEN 1 ELSE 0 END AS own_trades, CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END AS own_malformed, g.* EXCLUDE (connection_id, arrival_no)
+      FROM m LEFT JOIN g ON m.connection_id = g.connection_id AND m.arrival_no = g.arrival_no),
+    h AS (SELECT connection_id, arrival_no, own_trades, own_malformed, CAST(count(*) OVER w AS BIGINT) AS envelopes, {', '.join(f"CAST(sum(coalesce({x}, 0)) OVER w AS BIGINT) AS {y}" for x, y in [('own_trades', 'trades'), *[(k, k) for k in ('heartbeats', 'gaps', 'duplicates', 'out_of_order')], ('own_malformed', 'malformed')])},
+      last_value(envelope IGNORE NULLS) OVER w AS last_envelope, last_value(heartbeat IGNORE NULLS) OVER w AS last_heartbeat FROM a WINDOW w AS (PARTITION BY connection_id ORDER BY arrival_no ROWS UNBOUNDED PRECEDING))"""
+_COUNTS = "envelopes, trades, heartbeats, gaps, duplicates, out_of_order, malformed, last_envelope, last_heartbeat"
+
+
+def _read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages are read once; what follows starts from the stored result."""
+    return written(feed.read_messages(_feed(spark, sf_dir)), f"{shared_dir(spark)}/read")
+
+
+@query(f"""WITH {_feed_sql()} SELECT connection_id, stream, arrival_no, current, previous, status, counted, CASE WHEN status = 'gap' THEN previous + 1 END AS missing_from, CASE WHEN status = 'gap' THEN current - 1 END AS missing_to FROM q""")
+def feed_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = feed.feed_continuity(_read_feed(spark, sf_dir))
+    return judged.select("connection_id", "stream", "arrival_no", "current", "previous", "status", "counted", "missing_from", "missing_to")
+
+
+@query(f"WITH {_JUDGED} SELECT connection_id, arrival_no, {_COUNTS} FROM h")
+def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _read_feed(spark, sf_dir)
+    return feed.feed_health(read, feed.feed_continuity(read)).drop("received_at", "own_trades", "own_malformed")
+
+
+@query(
+    f"""WITH {_JUDGED} SELECT q.connection_id, q.arrival_no, CASE status WHEN 'duplicate' THEN 'duplicate_sequence' WHEN 'out_of_order' THEN 'out_of_order_sequence' ELSE CASE stream WHEN 'heartbeat' THEN 'heartbeat_gap' ELSE 'sequence_gap' END END AS observation_type,
+    stream, previous AS previous_sequence, current AS current_sequence, envelopes, trades - own_trades AS trades, heartbeats, gaps, duplicates, out_of_order, malformed - own_malformed AS malformed, last_envelope, last_heartbeat
+    FROM q JOIN h ON q.connection_id = h.connection_id AND q.arrival_no = h.arrival_no WHERE counted AND status IN ('gap', 'duplicate', 'out_of_order')"""
+)
+def feed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _read_feed(spark, sf_dir)
+    judged = feed.feed_continuity(read)
+    return feed.feed_anomalies(judged, feed.feed_health(read, judged)).drop("event_id", "received_at", "channel", "place", "missing_from", "missing_to")
+
+
+@query(f"WITH {_feed_sql()} SELECT connection_id, arrival_no, reason FROM m WHERE reason IS NOT NULL")
+def feed_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.feed_malformed(feed.read_messages(_feed(spark, sf_dir))).select("connection_id", "arrival_no", "reason")
+
+
+@query(
+    f"""WITH {_feed_sql()}, b AS (SELECT connection_id, max(t) AS last_heartbeat FROM q WHERE counted AND stream = 'heartbeat' GROUP BY 1),
+    c AS (SELECT split_part(m.connection_id, ':', 1) AS source, m.connection_id, min(m.t) AS opened, max(m.t) AS last_sign, any_value(b.last_heartbeat) AS last_heartbeat FROM m LEFT JOIN b ON m.connection_id = b.connection_id GROUP BY 1, 2),
+    d AS (SELECT *, lead(opened) OVER w AS following, row_number() OVER w AS place FROM c WINDOW w AS (PARTITION BY source ORDER BY opened, connection_id))
+    SELECT source, connection_id, opened AS at_us, 'connection_opened' AS observation_type, CAST(NULL AS VARCHAR) AS reason FROM d UNION ALL SELECT source, connection_id, opened, 'connection_recovered', NULL FROM d WHERE place > 1
+    UNION ALL SELECT source, connection_id, last_sign, 'connection_closed', CASE WHEN last_sign - coalesce(last_heartbeat, opened) >= 10000000 THEN 'heartbeat_silence' ELSE 'stream_ended' END FROM d WHERE following IS NOT NULL
+    UNION ALL SELECT source, connection_id, last_sign, 'reconnect_scheduled', NULL FROM d WHERE following IS NOT NULL UNION ALL SELECT source, connection_id, following, 'reconnect_attempt', NULL FROM d WHERE following IS NOT NULL"""
+)
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = feed.read_messages(_feed(spark, sf_dir))
+    beat = F.when(F.col("counted") & (F.size("counters") > 0), F.col("received_at"))
+    source = F.split_part("connection_id", F.lit(":"), F.lit(1)).alias("source")
+    connections = read.groupBy(source, "connection_id").agg(F.min("received_at").alias("opened_at"), F.max("received_at").alias("last_sign"), F.max(beat).alias("last_heartbeat"))
+    return feed.lifecycle_events(connections).select("source", "connection_id", F.unix_micros("at").alias("at_us"), "observation_type", "reason")

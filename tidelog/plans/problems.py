@@ -38,7 +38,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reject_rows.loaded(table(spark, sf_dir, "raw_kafka_record"))
+    rows = reject_rows.loaded(table(spark, sf_dir, "raw_kafka_record"))
+    return rows.withColumns({n: F.unix_micros(n) for n in ("event_time", "ingested_at")})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,52 @@ def _only(one: str, other: str, name: str) -> str:
     return f"SELECT DISTINCT {_POSITION}, '{name}' AS difference FROM {one} x WHERE NOT EXISTS (SELECT 1 FROM {other} y WHERE {met})"
 
 
+
+
+def _field_sql(name: str) -> str:
+    """Whether a field keeps its rule, of the JSON text ``v``."""
+    kind, text = f"json_type(v, '$.{name}')", f"json_extract_string(v, '$.{name}')"
+    uuid = f"regexp_full_match(lower({text}), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-{'5' if name == 'event_id' else '[0-9a-f]'}[0-9a-f]{{3}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')"
+    shape = reject_rows.FIELDS[name]
+    if name == "source_sequence":
+        rule = f"{kind} = 'NULL' OR ({kind} IN ('UBIGINT', 'BIGINT') AND TRY_CAST({text} AS BIGINT) >= 0)"
+    elif name == "payload":
+        rule = f"{kind} = 'OBJECT'"
+    elif name in ("correlation_id", "causation_id"):
+        rule = f"{kind} = 'NULL' OR ({kind} = 'VARCHAR' AND {uuid})"
+    elif shape == "UUID":
+        rule = f"{kind} = 'VARCHAR' AND {uuid}"
+    elif shape == "TIMESTAMPTZ":
+        zoned = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?([Zz]|[+-][0-9]{2}(:?[0-9]{2})?)"
+        rule = f"{kind} = 'VARCHAR' AND regexp_full_match({text}, '{zoned}') AND TRY_CAST(replace(upper({text}), ',', '.') AS TIMESTAMPTZ) IS NOT NULL"
+    elif name in reject_rows.CONSTANTS:
+        rule = f"{kind} = 'VARCHAR' AND {text} = '{reject_rows.CONSTANTS[name]}'"
+    else:
+        rule = f"{kind} = 'VARCHAR' AND {_strip(text)} <> ''"
+    return f"coalesce({rule}, false)"
+
+
+def parsed_sql(source: str) -> str:
+    """Common tables u and w: the rows with their text ``v`` and why it cannot be read. The engine's JSON lets a comma before a closing bracket pass."""
+    strict = "json_valid(v) AND NOT regexp_matches(v, ',[ \\t\\r\\n]*[}\\]]')"
+    return f"""u AS (SELECT *, TRY(decode(kafka_value)) AS v FROM {source}),
+    w AS (SELECT *, CASE WHEN kafka_value IS NULL THEN 'null_value' WHEN v IS NULL THEN 'invalid_utf8' WHEN NOT ({strict}) THEN 'invalid_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' END AS unread FROM u)"""
+
+
+_REASON = "CASE WHEN unread IS NOT NULL THEN unread " + " ".join(f"WHEN NOT {_field_sql(n)} THEN 'missing_or_invalid_{n}'" for n in reject_rows.FIELDS) + f" WHEN len(list_distinct(json_keys(v))) > {len(reject_rows.FIELDS)} THEN 'unexpected_field' END AS invalid_reason"
+
+
+def valid_sql(source: str) -> str:
+    """Common table f: the valid events of a table of log records, typed, with their position."""
+    typed = {"event_time": "TIMESTAMPTZ", "ingested_at": "TIMESTAMPTZ", "source_sequence": "BIGINT"}
+    fields = ", ".join(f"CAST(json_extract_string(v, '$.{n}') AS {typed.get(n, 'VARCHAR')}) AS {n}" for n in reject_rows.FIELDS)
+    return f"{parsed_sql(source)}, z AS (SELECT *, {_REASON} FROM w), f AS (SELECT kafka_topic, kafka_partition, kafka_offset, {fields} FROM z WHERE invalid_reason IS NULL)"
+
+
 ORACLE_SQL = {
+    "p4_found": f"WITH {parsed_sql('raw_kafka_record')}, z AS (SELECT *, {_REASON} FROM w) SELECT DISTINCT kafka_topic, kafka_partition, kafka_offset, invalid_reason FROM z WHERE invalid_reason IS NOT NULL",
+    "p4_loaded": f"""WITH {valid_sql('raw_kafka_record')} SELECT kafka_topic, kafka_partition, kafka_offset, lower(event_id) AS event_id, event_type, schema_version, exchange, symbol, epoch_us(event_time) AS event_time,
+        epoch_us(ingested_at) AS ingested_at, source_event_id, source_sequence, producer, lower(trace_id) AS trace_id, lower(correlation_id) AS correlation_id, lower(causation_id) AS causation_id, payload FROM f""",
     "p1_found": f"""
         WITH k AS (SELECT lower({_strip('exchange')}) e, upper({_strip('symbol')}) s, {_strip('source_event_id')} i, ingested_at, kafka_partition, kafka_offset
                    FROM market_trade_raw_event),

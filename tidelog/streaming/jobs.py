@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidelog.operators import archive, candles, curated
 
+LOGGER = logging.getLogger(__name__)
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 LATENESS = "15 minutes"
 
@@ -37,19 +40,23 @@ def live_candles(trades: DataFrame, period: str = "1 minute", lateness: str | No
     return candles.candles(trades.withWatermark("event_time", lateness) if lateness else trades, period)
 
 
-def split_write(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str) -> StreamingQuery:
+def split_write(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str, observe: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
     """Curated trades to one folder, quarantined ones with their reason to another.
 
-    A batch that is tried again overwrites its own folder, so it is not written twice.
+    A batch that is tried again overwrites its own folder, so it is not written twice. If either write
+    fails, so does the batch. ``observe`` sees the quarantined rows of a batch for reports; its failure
+    stops nothing.
     """
 
     def both(batch: DataFrame, number: int) -> None:
         good, bad = curated.quarantined(curated.curated(batch))
         good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        try:
-            bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        except Exception as error:  # the side output never stops the main one
-            print(f"quarantine of batch {number} failed: {error}")
+        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        if observe is not None:
+            try:
+                observe(number, batch.sparkSession.read.parquet(f"{bad_path}/batch={number}"))
+            except Exception:  # a report never stops the data
+                LOGGER.exception("observation of batch %s failed", number)
 
     return raw.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -58,6 +65,10 @@ _STATE = "previous long, observed long, gaps long, duplicates long, out_of_order
 CONTINUITY = "key string, arrival long, current long, previous long, status string, missing_from long, missing_to long, observed long, gaps long"
 
 
+_NEVER = -(1 << 62)
+OUTPUT_ROWS = 10_000
+
+
 class SequenceProcessor(StatefulProcessor):
     """The forward-only baseline and counters of a key, across batches; a timer reports one silence.
 
@@ -77,30 +88,36 @@ class SequenceProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         previous, observed, gaps, duplicates, late = self._read()
-        out = []
-        for row in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples(index=False):
-            current, observed = int(row.current), observed + 1
-            low = high = None
-            before = previous
-            if previous is None:
-                state = "initialized"
-            elif current > previous:
-                state = "ok" if current == previous + 1 else "gap"
-            else:
-                state = "duplicate" if current == previous else "out_of_order"
-            if state == "gap":
-                low, high, gaps = previous + 1, current - 1, gaps + 1
-            duplicates += state == "duplicate"
-            late += state == "out_of_order"
-            if previous is None or current > previous:
-                previous = current
-            out.append((key[0], int(row.arrival), current, before, state, low, high, observed, gaps))
-        self.state.update((previous, observed, gaps, duplicates, late))
+        arrival, current = self._in_order(rows)
+        before = np.maximum.accumulate(np.r_[_NEVER if previous is None else previous, current])[:-1]
+        first = before == _NEVER
+        status = np.select([first, current == before + 1, current == before, current < before], ["initialized", "ok", "duplicate", "out_of_order"], "gap")
+        gap = status == "gap"
+        counts = observed + 1 + np.arange(len(current)), gaps + np.cumsum(gap)
+        duplicates, late = duplicates + int((status == "duplicate").sum()), late + int((status == "out_of_order").sum())
+        self.state.update((int(max(before[-1], current[-1])), int(counts[0][-1]), int(counts[1][-1]), duplicates, late))
         if self.silence_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silence_ms)
-        yield _frame(out)
+        for at in range(0, len(current), OUTPUT_ROWS):
+            part = slice(at, at + OUTPUT_ROWS)
+            known, jump = ~first[part], gap[part]
+            yield pd.DataFrame(
+                {
+                    "key": key[0], "arrival": arrival[part], "current": current[part], "previous": pd.Series(before[part]).where(known).astype("Int64"), "status": status[part],
+                    "missing_from": pd.Series(before[part] + 1).where(jump).astype("Int64"), "missing_to": pd.Series(current[part] - 1).where(jump).astype("Int64"),
+                    "observed": counts[0][part], "gaps": counts[1][part],
+                }
+            )
+
+    @staticmethod
+    def _in_order(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers a row are all that is held of a key's part of a batch."""
+        parts = [(frame["arrival"].to_numpy(dtype=np.int64), frame["current"].to_numpy(dtype=np.int64)) for frame in rows]
+        arrival, current = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.argsort(arrival, kind="stable")
+        return arrival[order], current[order]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         previous, observed, gaps, _, _ = self._read()
