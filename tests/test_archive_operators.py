@@ -102,6 +102,8 @@ def test_replay_and_history(spark):
     replay = spark.createDataFrame([(1, "a", None), (2, "x", None), (4, "d", 1), (5, None, None)], "k int, v string, w int")
     assert rows(reconcile.replay_differences(live, replay, ["k"])) == [(2, "v"), (2, "w"), (3, "only_live"), (4, "only_replay")]
     assert tuple(reconcile.checksum(live).first()) == tuple(reconcile.checksum(live.orderBy(F.desc("k"))).first()) != tuple(reconcile.checksum(replay).first())
+    lists = [spark.createDataFrame([(v,)], "v array<string>") for v in (None, [], [None], [""], ["a"])]
+    assert len({tuple(reconcile.checksum(df).first()) for df in lists}) == 5
     twice = spark.createDataFrame([(1, "a"), (1, "a")], "k int, v string")
     assert tuple(reconcile.checksum(twice).first()) != tuple(reconcile.checksum(spark.createDataFrame([(2, "b"), (2, "b")], "k int, v string")).first())
     assert rows(reconcile.history_differences(live.select("k"), replay.select("k"), ["k"])) == [(3, "archive"), (4, "history")]

@@ -98,3 +98,39 @@ def test_lifecycle(spark):
         "c": [("connection_opened", None), ("connection_recovered", None)],
         "d": [("connection_opened", None)],
     }
+
+
+def test_quality_events_keep_their_contract(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tidelog import schemas
+    from tidelog.operators import contracts
+
+    names = [str(uuid.UUID(int=n)) for n in (1, 2)]
+    raws = [trades_message(1, TRADE), beat(2, "1"), beat(9, "5"), "broken", beat(9, "5"), trades_message(3)]
+    df = frame(spark, raws, names[0]).unionByName(frame(spark, raws[:2], names[1]))
+    df = df.withColumn("received_at", F.expr("case when arrival_no = 4 then received_at + interval 30 seconds else received_at end"))
+    read = feed.read_messages(df)
+    judged = feed.feed_continuity(read)
+    health = feed.feed_health(read, judged)
+    connections = spark.createDataFrame(
+        [("x", names[0], at(0), at(34), at(34), ["A-B"]), ("x", names[1], at(40), at(41), None, ["A-B", "C-D"])],
+        "source string, connection_id string, opened_at timestamp, last_sign timestamp, last_heartbeat timestamp, symbols array<string>",
+    )
+    events = feed.quality_events(read, judged, health, connections)
+    assert events.schema.simpleString() == spark.createDataFrame([], feed.QUALITY_EVENT).schema.simpleString() and len(events.columns) == 31
+    assert {r.rule: r.violations for r in contracts.violation_counts(events, schemas.quality_rules()).collect() if r.violations} == {}
+    kinds = {}
+    for r in events.collect():
+        kinds[r.observation_type] = kinds.get(r.observation_type, 0) + 1
+    assert kinds == {
+        "connection_opened": 2, "connection_recovered": 1, "connection_closed": 1, "reconnect_scheduled": 1, "reconnect_attempt": 1, "sequence_gap": 1, "heartbeat_gap": 1, "duplicate_sequence": 2,
+        "out_of_order_sequence": 1, "malformed_message": 1, "heartbeat_silence": 1, "health_summary": 2,
+    }
+    ids = [r.event_id for r in events.collect()]
+    assert len(set(ids)) == len(ids) and sorted(ids) == sorted(r.event_id for r in feed.quality_events(read, judged, health, connections).collect())
+    sent = feed.encoded_events(events.where("observation_type = 'malformed_message'")).first()
+    body = json.loads(sent.value)
+    assert sent.key.decode() == f"x:{names[0]}" and list(body) == events.columns and (body["reason"], body["malformed_message_count"], body["stream"]) == ("invalid_json", 1, None)

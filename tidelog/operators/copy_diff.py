@@ -32,11 +32,13 @@ _SUMS = ("rows", "s0", "s1", "s2")
 
 def _flat(df: DataFrame, name: str) -> list[Column]:
     """What of a field goes into the checksum, so that null, empty and nested nulls stay apart."""
-    field = df[name]
-    if df.schema[name].dataType.typeName() == "array":
-        parts = F.transform(field, lambda x: F.struct(x["key"], x["key"].isNull(), x["value"], x["value"].isNull(), x.isNull()))
-        return [field.isNull(), F.coalesce(F.size(field), F.lit(-1)), parts]
-    return [field.isNull(), field]
+    field, kind = df[name], df.schema[name].dataType
+    if kind.typeName() != "array":
+        return [field.isNull(), field]
+    inner = kind.elementType
+    names = inner.names if inner.typeName() == "struct" else []
+    parts = F.transform(field, lambda x: F.struct(x.isNull(), *([p for n in names for p in (x[n], x[n].isNull())] or [x])))
+    return [field.isNull(), F.coalesce(F.size(field), F.lit(-1)), parts]
 
 
 def added_hash(columns: Sequence[Column]) -> list[Column]:

@@ -244,3 +244,77 @@ def lifecycle_events(connections: DataFrame, timeout_s: float = continuity.HEART
         )
     )
     return seen.select("source", "connection_id", F.explode(events).alias("e")).select("source", "connection_id", "e.*")
+
+
+#: The fields of the quality event in order, with their types.
+QUALITY_EVENT = (
+    "event_id string, event_type string, schema_version string, producer string, exchange string, connection_id string, trace_id string, observation_type string, detected_at timestamp, "
+    "connection_started_at timestamp, affected_symbols array<string>, channel string, stream string, previous_sequence long, current_sequence long, missing_from long, missing_to long, "
+    "last_envelope_sequence long, last_heartbeat_counter long, seconds_since_last_message double, seconds_since_last_heartbeat double, envelopes_observed long, trades_observed long, "
+    "heartbeats_observed long, sequence_gap_count long, duplicate_sequence_count long, out_of_order_sequence_count long, malformed_message_count long, reason string, message_excerpt string, message_sha256 string"
+)
+_OBSERVED = {
+    "envelopes": "envelopes_observed", "trades": "trades_observed", "heartbeats": "heartbeats_observed", "gaps": "sequence_gap_count", "duplicates": "duplicate_sequence_count",
+    "out_of_order": "out_of_order_sequence_count", "malformed": "malformed_message_count", "last_envelope": "last_envelope_sequence", "last_heartbeat": "last_heartbeat_counter",
+}
+
+
+def health_summaries(health: DataFrame, interval_s: int = continuity.SUMMARY_INTERVAL_S) -> DataFrame:
+    """The counters at the last message of every connection and interval that has one."""
+    tick = F.floor(F.unix_micros("received_at") / (interval_s * 1_000_000))
+    values = F.struct("arrival_no", "received_at", *COUNTERS, "last_envelope", "last_heartbeat")
+    return health.groupBy("connection_id", tick.alias("tick")).agg(F.max_by(values, "arrival_no").alias("v")).select("connection_id", "v.*")
+
+
+def heartbeat_silences(read: DataFrame, timeout_s: int = continuity.HEARTBEAT_TIMEOUT_S) -> DataFrame:
+    """One row for each time a connection's heartbeats stayed away: connection_id, silent_from, silent_to, seconds. The first message counts as a sign."""
+    signs = read.where(F.col("counted") & (F.size("counters") > 0)).select("connection_id", "received_at")
+    first = read.groupBy("connection_id").agg(F.min("received_at").alias("received_at"))
+    return continuity.quiet_times(signs.unionByName(first), ["connection_id"], "received_at", timeout_s)
+
+
+def quality_events(read: DataFrame, judged: DataFrame, health: DataFrame, connections: DataFrame) -> DataFrame:
+    """All observations of a feed as events of QUALITY_EVENT.
+
+    ``connections``: connection_id, source, opened_at, last_sign, last_heartbeat, symbols. Identifiers derive
+    from what was observed, so a replay gives the same ones; trace identifiers are random.
+    """
+    at = F.timestamp_micros
+    anomalies = feed_anomalies(judged, health).withColumn("detected_at", F.col("received_at"))
+    bad = feed_malformed(read).withColumnRenamed("connection_id", "of_connection").withColumnRenamed("arrival_no", "of_arrival")
+    malformed = health.join(bad, health["connection_id"].eqNullSafe(F.col("of_connection")) & (F.col("arrival_no") == F.col("of_arrival"))).withColumn("observation_type", F.lit("malformed_message"))
+    timeout = continuity.HEARTBEAT_TIMEOUT_S
+    silent = heartbeat_silences(read).select(
+        "connection_id", at(F.col("silent_from") + timeout * 1_000_000).alias("received_at"), F.lit(float(timeout)).alias("seconds_since_last_heartbeat"), F.lit("heartbeats").alias("channel"),
+        F.lit(HEARTBEATS).alias("stream"), F.lit("heartbeat_silence").alias("observation_type"), F.lit(f"no heartbeat for at least {timeout} seconds").alias("reason"),
+    )
+    lived = lifecycle_events(connections.select("source", "connection_id", "opened_at", "last_sign", "last_heartbeat")).select("connection_id", F.col("at").alias("received_at"), "observation_type", "reason")
+    parts = [anomalies, malformed, silent, lived, health_summaries(health).withColumn("observation_type", F.lit("health_summary"))]
+    names = [part.split() for part in QUALITY_EVENT.split(", ")]
+
+    def shaped(part: DataFrame) -> DataFrame:
+        own = part.withColumnsRenamed({old: new for old, new in _OBSERVED.items() if old in part.columns})
+        wanted = [n for n, _ in names if n not in ("event_id", "event_type", "schema_version", "producer", "exchange", "trace_id", "detected_at", "connection_started_at", "affected_symbols")]
+        kinds = dict((n, t) for n, t in names)
+        columns = [F.col(n).cast(kinds[n]).alias(n) if n in own.columns else F.lit(0 if n in _OBSERVED.values() and not n.startswith("last_") else None).cast(kinds[n]).alias(n) for n in wanted]
+        return own.select(*columns, F.col("received_at").alias("detected_at"), (F.col("arrival_no") if "arrival_no" in own.columns else F.lit(None).cast("long")).alias("arrival"), (F.col("place") if "place" in own.columns else F.lit(None).cast("int")).alias("place"))
+
+    observed = shaped(parts[0])
+    for part in parts[1:]:
+        observed = observed.unionByName(shaped(part))
+    known = connections.select(F.col("connection_id").alias("of_connection"), F.col("source").alias("exchange"), F.col("opened_at").alias("connection_started_at"), F.col("symbols").alias("affected_symbols"))
+    joined = observed.join(known, F.col("connection_id").eqNullSafe(F.col("of_connection")))
+    name = F.to_json(F.struct("connection_id", "observation_type", "stream", F.unix_micros("detected_at").alias("at"), "arrival", "place"))
+    fixed = {"event_type": "market.data.quality", "schema_version": "v1", "producer": "apps.collector"}
+    derived = {"event_id": X.hyphenated(X.uuid5_hex(name)), "trace_id": F.uuid(), **{n: F.lit(v) for n, v in fixed.items()}}
+    return joined.withColumns(derived).select(*[F.col(n).cast(t).alias(n) for n, t in names])
+
+
+def encoded_events(events: DataFrame) -> DataFrame:
+    """(key, value, headers) of quality events: key exchange:connection, compact JSON with nulls kept, three headers."""
+    headers = [F.struct(F.lit(n).alias("key"), F.encode(F.col(n), "utf-8").alias("value")) for n in ("event_type", "schema_version", "trace_id")]
+    return events.select(
+        F.encode(F.concat_ws(":", "exchange", "connection_id"), "utf-8").alias("key"),
+        F.encode(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}), "utf-8").alias("value"),
+        F.array(*headers).alias("headers"),
+    )

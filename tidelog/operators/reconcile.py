@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.copy_diff import added_hash
+from tidelog.operators.copy_diff import _flat, added_hash
 from tidelog.operators.running import running
 
 
@@ -27,7 +27,7 @@ def replay_differences(live: DataFrame, replay: DataFrame, keys: Sequence[str])
 
 def checksum(df: DataFrame) -> DataFrame:
     """One row: rows and an order-free checksum of three numbers; it adds, so equal copies do not cancel."""
-    values = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    values = [x for c in df.columns for x in _flat(df, c)]
     return df.agg(F.count("*").alias("rows"), *added_hash(values)).na.fill(0)
 
 

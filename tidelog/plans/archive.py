@@ -293,11 +293,11 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT kafka_partition, kafka_offset, CAST(source_sequence AS VARCHAR) AS sequence_num, n AS "at", json_extract_string(payload, '$.trade_id') AS trade_id,
-    json_extract_string(payload, '$.product_id') AS product_id, json_extract_string(payload, '$.price') AS price, json_extract_string(payload, '$.size') AS size, json_extract_string(payload, '$.time') AS time FROM market_trade_raw_event, (VALUES (0), (1)) v(n) WHERE source_sequence IS NOT NULL"""
+    json_extract_string(payload, '$.product_id') AS product_id, json_extract_string(payload, '$.price') AS price, json_extract_string(payload, '$.size') AS size, json_extract_string(payload, '$.time') AS time, epoch_us(CAST(json_extract_string(payload, '$.time') AS TIMESTAMPTZ)) AS time_us FROM market_trade_raw_event, (VALUES (0), (1)) v(n) WHERE source_sequence IS NOT NULL"""
 )
 def flatten_message_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = continuity.trades_of(continuity.envelopes(_messages(spark, sf_dir)), *_ORDER)
-    return found.select(*_ORDER, "sequence_num", "at", "trade_id", "product_id", "price", "size", "time")
+    return found.select(*_ORDER, "sequence_num", "at", "trade_id", "product_id", "price", "size", "time", F.unix_micros(X.instant(F.col("time"))).alias("time_us"))
 
 
 @query(
@@ -826,3 +826,64 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.split_part("connection_id", F.lit(":"), F.lit(1)).alias("source")
     connections = read.groupBy(source, "connection_id").agg(F.min("received_at").alias("opened_at"), F.max("received_at").alias("last_sign"), F.max(beat).alias("last_heartbeat"))
     return feed.lifecycle_events(connections).select("source", "connection_id", F.unix_micros("at").alias("at_us"), "observation_type", "reason")
+
+
+_FEED_KINDS = f"""{_JUDGED}, b AS (SELECT connection_id, max(t) AS last_heartbeat FROM q WHERE counted AND stream = 'heartbeat' GROUP BY 1),
+    y AS (SELECT split_part(connection_id, ':', 1) AS source, connection_id, min(t) AS opened, max(t) AS last_sign FROM m GROUP BY 1, 2),
+    d AS (SELECT *, lead(opened) OVER w AS following, row_number() OVER w AS place FROM y WINDOW w AS (PARTITION BY source ORDER BY opened, connection_id)),
+    g2 AS (SELECT connection_id, t FROM q WHERE counted AND stream = 'heartbeat' UNION ALL SELECT connection_id, opened FROM y),
+    r2 AS (SELECT connection_id, t - lag(t) OVER (PARTITION BY connection_id ORDER BY t) AS quiet FROM g2),
+    k AS (SELECT connection_id, CASE status WHEN 'duplicate' THEN 'duplicate_sequence' WHEN 'out_of_order' THEN 'out_of_order_sequence' ELSE CASE stream WHEN 'heartbeat' THEN 'heartbeat_gap' ELSE 'sequence_gap' END END AS observation_type
+      FROM q WHERE counted AND status IN ('gap', 'duplicate', 'out_of_order') UNION ALL SELECT connection_id, 'malformed_message' FROM m WHERE reason IS NOT NULL UNION ALL SELECT connection_id, 'heartbeat_silence' FROM r2 WHERE quiet >= 10000000
+      UNION ALL SELECT connection_id, 'health_summary' FROM (SELECT DISTINCT connection_id, t // 60000000 FROM m) UNION ALL SELECT connection_id, 'connection_opened' FROM d UNION ALL SELECT connection_id, 'connection_recovered' FROM d WHERE place > 1
+      UNION ALL SELECT connection_id, unnest(['connection_closed', 'reconnect_scheduled', 'reconnect_attempt']) FROM d WHERE following IS NOT NULL)"""
+
+
+@query(f"WITH {_FEED_KINDS} SELECT split_part(connection_id, ':', 1) AS exchange, connection_id, observation_type, count(*) AS events, count(*) AS identifiers FROM k GROUP BY 1, 2, 3")
+def feed_quality_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole stream of quality events, by kind; their identifiers are distinct."""
+    read = _read_feed(spark, sf_dir)
+    judged = feed.feed_continuity(read)
+    beat = F.when(F.col("counted") & (F.size("counters") > 0), F.col("received_at"))
+    source = F.split_part("connection_id", F.lit(":"), F.lit(1)).alias("source")
+    connections = read.groupBy(source, "connection_id").agg(F.min("received_at").alias("opened_at"), F.max("received_at").alias("last_sign"), F.max(beat).alias("last_heartbeat"), F.array(F.lit("ALL")).alias("symbols"))
+    events = feed.quality_events(read, judged, feed.feed_health(read, judged), connections)
+    return events.groupBy("exchange", "connection_id", "observation_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("identifiers"))
+
+
+# --- backfill ------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT kafka_partition, strftime(kafka_timestamp, '%Y-%m-%d %H') AS hour FROM market_trade_raw_event), d AS (SELECT DISTINCT kafka_partition, strftime(kafka_timestamp, '%Y-%m-%d %H') AS hour FROM raw_kafka_record)
+    SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.kafka_partition = w.kafka_partition AND d.hour = w.hour)"""
+)
+def backfill_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of a partition that were delivered and of which the archive has nothing."""
+    hour = F.date_format("kafka_timestamp", "yyyy-MM-dd HH").alias("hour")
+    wanted, held = (df.select("kafka_partition", hour).distinct() for df in (_trades(spark, sf_dir), _archive(spark, sf_dir)))
+    return reconcile.backfill_due(wanted, held.withColumn("status", F.lit("done")), ["kafka_partition", "hour"])
+
+
+@query(
+    f"""WITH e AS (SELECT lower({_strip('exchange')}) AS exchange, epoch_us(min(event_time)) AS a, epoch_us(max(event_time)) AS b FROM market_trade_raw_event WHERE event_time IS NOT NULL GROUP BY 1),
+    w AS (SELECT exchange, b, unnest(range(a, b + 1, 21600000000)) AS window_from FROM e) SELECT exchange, window_from, least(window_from + 21600000000, b + 1) AS window_to FROM w"""
+)
+def history_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of six hours in which an exchange's history has to be asked for."""
+    rows = _trades(spark, sf_dir).where("event_time is not null").groupBy(X.exchange_key(F.col("exchange")).alias("exchange")).agg(F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+    windows = reconcile.request_windows(rows, "a", "b", 6 * 3600)
+    return windows.select("exchange", F.unix_micros("window_from").alias("window_from"), F.unix_micros("window_to").alias("window_to"))
+
+
+@query("SELECT count(*) AS rows, true AS same FROM raw_kafka_record")
+def replay_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archived records sent through the log's form and back have the checksum they had."""
+    rows = _archive(spark, sf_dir).select(*archive.RENAMES)
+    back = archive.archive_rows(archive.log_records(rows)).select(*archive.RENAMES)
+    sums = ["s0", "s1", "s2"]
+    one, other = reconcile.checksum(rows), reconcile.checksum(back).toDF("rows_back", *[f"{s}_back" for s in sums])
+    met = F.lit(True)
+    for name in sums:
+        met = met & (F.col(name) == F.col(f"{name}_back"))
+    return one.join(other, F.col("rows") == F.col("rows_back"), "left").select("rows", F.coalesce(met, F.lit(False)).alias("same"))
