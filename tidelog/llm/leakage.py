@@ -43,31 +43,53 @@ def _automata(items: DataFrame, least: int, characters: int) -> Iterator[tuple]:
         yield items.sparkSession.sparkContext.broadcast(([i for i, _ in rows], automaton))
 
 
+def _holding(automaton: SuffixAutomaton, text: str) -> set[int]:
+    """Numbers of the automaton's items that the text holds."""
+    holding: set[int] = set()
+    last = None
+    for _, _, held in automaton.matches(normalised(text)):
+        if held is not last:
+            holding.update(held)
+            last = held
+    return holding
+
+
+def _noted(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Add what one automaton finds to the items held; the text goes on to the next one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        item_ids, automaton = shared.value
+        for batch in batches:
+            held = [[*before, *[item_ids[i] for i in _holding(automaton, text)]] for text, before in zip(batch["text"], batch["held"], strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "held": held})
+
+    return run
+
+
 def _search(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         item_ids, automaton = shared.value
         for batch in batches:
             found = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                holding: set[int] = set()
-                last = None
-                for _, _, held in automaton.matches(normalised(text)):
-                    if held is not last:
-                        holding.update(held)
-                        last = held
-                found += [(doc_id, item_ids[i]) for i in holding]
+            for doc_id, text, before in zip(batch["doc_id"], batch["text"], batch["held"], strict=True):
+                found += [(doc_id, item) for item in (*before, *[item_ids[i] for i in _holding(automaton, text)])]
             yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
     return run
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, characters: int = AUTOMATON_CHARACTERS) -> DataFrame:
-    """(doc_id, item_id): the document holds at least ``least`` consecutive words of the item."""
-    texts = documents.where("text is not null").select("doc_id", "text")
-    found = documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    for shared in _automata(items, least, characters):
-        found = found.unionByName(texts.mapInPandas(_search(shared), "doc_id long, item_id long"))
-    return found.distinct()
+    """(doc_id, item_id): the document holds at least ``least`` consecutive words of the item.
+
+    However many automata there are, the documents are read once and pass through them one after the other.
+    """
+    shared = list(_automata(items, least, characters))
+    if not shared:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    rows = documents.where("text is not null").select("doc_id", "text", F.array().cast("array<long>").alias("held"))
+    for part in shared[:-1]:
+        rows = rows.mapInPandas(_noted(part), "doc_id long, text string, held array<long>")
+    return rows.mapInPandas(_search(shared[-1]), "doc_id long, item_id long").distinct()
 
 
 def _mark(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

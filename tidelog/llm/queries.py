@@ -35,5 +35,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found)}
-#: Tokenizing, automata and line shapes have no SQL; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _grams(table_: str, key: str) -> str:
+    """Every run of the least number of words of a table's texts."""
+    words = f"SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {leakage.LEAST_WORDS - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {leakage.LEAST_WORDS - 2})) AS i FROM ({words}))"
+
+
+#: Tokenizing, cleaning and line shapes have no SQL; they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"p9_found": f"WITH d AS ({_grams('documents', 'doc_id')}), e AS ({_grams('eval_item', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e ON d.g = e.g"}
