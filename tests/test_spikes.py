@@ -127,6 +127,22 @@ def test_summaries_are_merged_step_by_step(spark, work, monkeypatch):
         assert np.abs(whole[name] - parts[name]).max() < 0.1
 
 
+def test_spikes_in_the_smallest_sources(spark, work):
+    """Many small sources of 30 trades, each with spikes of three trades and sizes little above the limit, which the median of a small source moves."""
+    data, expected = [], set()
+    for k in range(60):
+        key = series(30, exchange=f"k{k}", start=1000 * k, seed=k)
+        for i in (12, 13, 14):
+            put(key, i, price=f"{100 + 40 + k:.2f}")
+            expected.add((1000 * k + i, "price_spike"))
+        for i in range(20, 20 + k % 9):
+            put(key, i, size=f"{220 + i:.2f}")
+            expected.add((1000 * k + i, "size_spike"))
+        data += key
+    found = flagged(spark, data, work)
+    assert {x for x in expected if x[1] == "size_spike"} <= found and found == expected
+
+
 def test_empty_and_nulls(spark, work):
     assert rows(implausible(trades(spark, []), work)) == []
     data = [trade(1, None, exchange=None), trade(2, None, exchange=None, sid=None), trade(3, sid=None, price="0")]

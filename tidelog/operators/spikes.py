@@ -44,6 +44,8 @@ SPIKE_SCORE = 0.6
 #: Readings above so many times the median of a feature (and above LEAST_SPREAD) are not ordinary and stay out of the fit.
 ORDINARY = 4.0
 LEAST_SPREAD = 0.25
+#: A forest is fitted to so many readings at least, the most ordinary ones; with fewer no score could tell anything.
+LEAST_FIT = 16
 #: Order statistics a summary keeps of all readings, and of each hour of the day: medians are exact to half a step.
 MARKS, HOUR_MARKS = 2001, 33
 #: log2 of the summaries merged at once.
@@ -298,8 +300,8 @@ def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
     for seed, (x, there) in enumerate(zip(features, (sample[:, _RAW.index("price")], sample[:, _RAW.index("log_size")]), strict=True)):
         x = x[~np.isnan(there)]
         if len(x):
-            ordinary = (x <= np.maximum(ORDINARY * np.median(x, axis=0), LEAST_SPREAD)).all(axis=1)
-            x = x[ordinary] if ordinary.any() else x
+            excess = (x / np.maximum(ORDINARY * np.median(x, axis=0), LEAST_SPREAD)).max(axis=1)
+            x = x[excess <= max(1.0, np.sort(excess)[min(LEAST_FIT, len(x)) - 1])]
         forests.append(isolation.Forest.fit(x, zlib.crc32(source.encode()) + seed, LEAST_SPREAD, list(weights[seed].values())).packed() if len(x) else b"")
     row = [source, s["n"], usual_change, usual_size, season.tobytes(), *forests]
     return pd.DataFrame([row], columns=[part.split()[0] for part in _MODEL.split(", ")])
